@@ -28,46 +28,53 @@ WINDOW, K = 13, 5
 W = WINDOW - K + 1
 SIDE = WINDOW - K
 BROADCAST_ROWS = 200_000
-NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Up to so many distinct fingerprints are also put into the scan as a set, which drops others before they become rows.
+LITERAL_ROWS = 20_000
+POS_BITS = 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
 
 def word_hashes(text: Column) -> Column:
     """Hashes of the words, A-Z lower-cased."""
-    words = F.filter(F.split(F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER, _LOWER), NOT_WORD), lambda w: w != "")
-    return F.transform(words, lambda w: F.xxhash64(w))
+    # one character to split at: faster than a pattern
+    spaced = F.translate(F.coalesce(text.cast("string"), F.lit("")), _UPPER + _SEPARATORS, _LOWER + " " * len(_SEPARATORS))
+    return F.transform(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
 def _grams(h: Column) -> Column:
-    """Hash of the K words from each position that has K."""
-    whole = F.transform(h, lambda x, i: F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]))
-    return F.slice(whole, 1, F.greatest(F.size(h) - (K - 1), F.lit(0)))
+    """For each position with K words from there on: 33 bits of their hash above 30 bits of position, so that the least of some is the smallest hash, the leftmost of equals."""
+    def packed(x, i):
+        fp = F.shiftrightunsigned(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]), 31)
+        return F.shiftleft(fp, POS_BITS).bitwiseOR(i.cast("bigint"))
+
+    return F.slice(F.transform(h, packed), 1, F.greatest(F.size(h) - (K - 1), F.lit(0)))
 
 
 def _minima(g: Column) -> Column:
-    """For each window of W grams the smallest hash, the earliest of equals by its position; repeats dropped."""
+    """The distinct least grams of all windows of W grams: a minimum stays the same until it leaves the window or a lesser one comes."""
     def lowest(_x, i):
         return F.least(*[F.get(g, i + j) for j in range(W)])
 
-    return F.slice(F.transform(g, lowest), 1, F.greatest(F.size(g) - (W - 1), F.lit(0)))
-
-
-def _fingerprints(h: str, g: str, m: str) -> Column:
-    """(pos, hash, context) of every gram that is the minimum of some window around it."""
-    gc, mc, hc = F.col(g), F.col(m), F.col(h)
-    # gram p is selected if it equals the minimum of one of the windows p-W+1 .. p; ties select every equal gram
-    def chosen(x, p):
-        return F.coalesce(F.greatest(*[F.coalesce(F.get(mc, p - j) == x, F.lit(False)) for j in range(W)]), F.lit(False))
-
-    at = F.transform(gc, lambda x, p: F.struct(p.alias("pos"), x.alias("fp"), chosen(x, p).alias("use")))
-    return F.transform(
-        F.filter(at, lambda s: s["use"]),
-        lambda s: F.struct(
-            s["pos"].alias("pos"),
-            s["fp"].alias("fp"),
-            F.slice(hc, F.greatest(s["pos"] - SIDE, F.lit(0)) + 1, F.least(s["pos"], F.lit(SIDE))).alias("left"),
-            F.slice(hc, s["pos"] + 1, K + SIDE).alias("right"),
-        ),
+    return F.array_distinct(F.slice(F.transform(g, lowest), 1, F.greatest(F.size(g) - (W - 1), F.lit(0))))
+
+
+def _pos(m: Column) -> Column:
+    return m.bitwiseAND((1 << POS_BITS) - 1).cast("int")
+
+
+def _fp(m: Column) -> Column:
+    return F.shiftrightunsigned(m, POS_BITS)
+
+
+def _context(h: Column, m: Column) -> Column:
+    """(pos, hash, words before, words from there on) of a fingerprint."""
+    return F.struct(
+        _pos(m).alias("pos"),
+        _fp(m).alias("fp"),
+        F.slice(h, F.greatest(_pos(m) - SIDE, F.lit(0)) + 1, F.least(_pos(m), F.lit(SIDE))).alias("left"),
+        F.slice(h, _pos(m) + 1, K + SIDE).alias("right"),
+        F.lit(False).alias("short"),
     )
 
 
@@ -91,21 +98,28 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
     items = bench.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(item_text)).alias("h")).where(F.size("h") > 0)
     long_items = (
         items.where(F.size("h") >= WINDOW).withColumn("g", _grams(F.col("h"))).withColumn("m", _minima(F.col("g")))
-        .select("item", F.explode(_fingerprints("h", "g", "m")).alias("f"))
+        .select("item", F.explode(F.transform("m", lambda m: _context(F.col("h"), m))).alias("f"))
         .select(F.col("f.fp").alias("fp"), "item", F.col("f.left").alias("i_left"), F.col("f.right").alias("i_right"))
     )
-    short_items = items.where(F.size("h") < WINDOW).select(F.get("h", F.lit(0)).alias("fp"), "item", F.array().cast("array<bigint>").alias("i_left"), F.col("h").alias("i_right"))
+    none = F.array().cast("array<bigint>")
+    short_items = items.where(F.size("h") < WINDOW).select(F.get("h", F.lit(0)).alias("fp"), "item", none.alias("i_left"), F.col("h").alias("i_right"))
     index = long_items.withColumn("short", F.lit(False)).unionByName(short_items.withColumn("short", F.lit(True)))
-    has_short = bool(short_items.limit(1).count())
+    known = {s: [r.fp for r in index.where(F.col("short") == s).select("fp").distinct().limit(LITERAL_ROWS + 1).collect()] for s in (False, True)}
+
+    def among(fp: Column, short: bool) -> Column:
+        return F.lit(True) if len(known[short]) > LITERAL_ROWS else fp.isin(known[short])
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("h"))
-    rows = rows.withColumn("g", _grams(F.col("h"))).withColumn("m", _minima(F.col("g")))
+    # without a gram among the benchmark's fingerprints no window of a text can match: such texts need no winnowing
+    rows = rows.withColumn("g", _grams(F.col("h")))
+    rows = rows.withColumn("m", F.when(F.exists("g", lambda x: among(_fp(x), False)), _minima(F.col("g"))).otherwise(none))
     kind = "struct<pos:int,fp:bigint,left:array<bigint>,right:array<bigint>,short:boolean>"
-    marks = F.transform(_fingerprints("h", "g", "m"), lambda s: F.struct(s["pos"], s["fp"], s["left"], s["right"], F.lit(False)).cast(kind))
-    if has_short:
-        heads = F.transform(F.col("h"), lambda x, p: F.struct(p, x, F.array().cast("array<bigint>"), F.slice(F.col("h"), p + 1, WINDOW - 1), F.lit(True)).cast(kind))
+    marks = F.transform(F.filter("m", lambda m: among(_fp(m), False)), lambda m: _context(F.col("h"), m)).cast(f"array<{kind}>")
+    if known[True]:
+        at = F.filter(F.transform("h", lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda s: among(s["x"], True))
+        heads = F.transform(at, lambda s: F.struct(s["p"], s["x"], none, F.slice(F.col("h"), s["p"] + 1, WINDOW - 1), F.lit(True)).cast(kind))
         marks = F.concat(marks, heads)
-    row_mark = F.array(F.struct(F.lit(-1), F.lit(None).cast("bigint"), F.lit(None).cast("array<bigint>"), F.lit(None).cast("array<bigint>"), F.lit(False)).cast(kind))
+    row_mark = F.array(F.struct(F.lit(-1), F.lit(None).cast("bigint"), none, none, F.lit(False)).cast(kind))
     each = rows.select("row", "id", F.size("h").alias("n"), F.explode(F.concat(row_mark, marks)).alias("f")).select("row", "id", "n", "f.*")
     met = each.join(_bounded(index), ["fp", "short"], "left").where((F.col("pos") < 0) | F.col("item").isNotNull())
 
