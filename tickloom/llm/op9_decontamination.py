@@ -119,8 +119,9 @@ def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", tex
         at = F.filter(F.transform("h", lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda s: among(s["x"], True))
         heads = F.transform(at, lambda s: F.struct(s["p"], s["x"], none, F.slice(F.col("h"), s["p"] + 1, WINDOW - 1), F.lit(True)).cast(kind))
         marks = F.concat(marks, heads)
+    # outer, though no array is empty: for an inner explode Spark would compute the arrays once more in a filter
     row_mark = F.array(F.struct(F.lit(-1), F.lit(None).cast("bigint"), none, none, F.lit(False)).cast(kind))
-    each = rows.select("row", "id", F.size("h").alias("n"), F.explode(F.concat(row_mark, marks)).alias("f")).select("row", "id", "n", "f.*")
+    each = rows.select("row", "id", F.size("h").alias("n"), F.explode_outer(F.concat(row_mark, marks)).alias("f")).select("row", "id", "n", "f.*")
     met = each.join(_bounded(index), ["fp", "short"], "left").where((F.col("pos") < 0) | F.col("item").isNotNull())
 
     before = F.when(F.col("short"), F.lit(0)).otherwise(_agree(F.col("left"), F.col("i_left"), SIDE, True))
