@@ -221,33 +221,27 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = signed.join(groups, (signed.set_id == groups.set_id) & (signed.id == groups.rep), "left_semi").dropDuplicates(["id"])
     members = stored(clusters(reps.select("id", "keys")), "clusters")
 
-    # texts of the members, once
-    wanted = members.select("id").distinct()
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).join(wanted, "id", "left_semi")
-    sizes = members.join(with_rep.where("id = rep").select("id", "n").dropDuplicates(["id"]), "id").groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    own_size = with_rep.where("id = rep").select("id", "n").dropDuplicates(["id"])
+    sizes = members.join(own_size, "id").groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.least(F.col("docs"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
-    sizes = stored(sizes.select("hub", blocks.cast("int").alias("blocks")), "cluster-sizes")
-    placed = members.join(sizes, "hub")
-    texts = texts.dropDuplicates(["id"])
+    placed = stored(members.join(sizes.select("hub", blocks.cast("long").alias("blocks")), "hub"), "placed")
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
-    small = placed.where("blocks = 1").select("hub", F.lit(0).cast("long").alias("pair"), "id").join(texts, "id").select("hub", "pair", "id", "text", F.lit(False).alias("near"))
     # a large cluster: first every member against the hub, then only blocks with members that don't link to it
-    large = stored(placed.where("blocks > 1").join(texts, "id").select("hub", "id", "text", "blocks"), "large-clusters")
-    hub_texts = large.where("hub = id").select("hub", F.col("text").alias("hub_text"))
-    compared = large.join(hub_texts, "hub").select("hub", "id", "text", "hub_text").mapInArrow(_near_hub, "hub long, id long, near boolean")
+    large = placed.where("blocks > 1")
+    hubs = texts.join(large.select("hub").distinct(), F.col("id") == F.col("hub")).select("hub", F.col("text").alias("hub_text")).dropDuplicates(["hub"])
+    compared = texts.join(large, "id").join(hubs, "hub").select("hub", "id", "text", "hub_text").mapInArrow(_near_hub, "hub long, id long, near boolean")
     near = stored(compared, "near-hub")
-    dealt = large.join(near, ["hub", "id"]).withColumn("block", F.when(F.col("near"), F.pmod(F.xxhash64("id"), F.col("blocks"))).otherwise(F.col("blocks") + F.pmod(F.xxhash64("id"), F.col("blocks"))))
+    own = F.pmod(F.xxhash64("id"), F.col("blocks"))
+    dealt = large.join(near, ["hub", "id"]).withColumn("block", F.when(F.col("near"), own).otherwise(F.col("blocks") + own))
     # near blocks are 0 .. b-1, others b .. 2b-1: each block meets every other block but near blocks don't meet
-    others = F.sequence(F.col("blocks").cast("long"), 2 * F.col("blocks").cast("long") - 1)
-    partner = F.when(F.col("near"), others).otherwise(F.sequence(F.lit(0).cast("long"), 2 * F.col("blocks").cast("long") - 1))
-    paired = dealt.withColumn("other", F.explode(partner)).select(
-        "hub",
-        (F.least("block", "other") * 2_000_000 + F.greatest("block", "other") + 1).cast("long").alias("pair"),
-        "id",
-        "text",
-        "near",
-    )
-    work = small.unionByName(paired).select("hub", "pair", "id", "text", "near")
+    first = F.when(F.col("near"), F.col("blocks")).otherwise(F.lit(0).cast("long"))
+    pair = F.least("block", "other") * 2_000_000_000 + F.greatest("block", "other") + 1
+    paired = dealt.withColumn("other", F.explode(F.sequence(first, 2 * F.col("blocks") - 1))).select("hub", pair.alias("pair"), "id", "near")
+    whole = placed.where("blocks = 1").select("hub", F.lit(0).cast("long").alias("pair"), "id", F.lit(False).alias("near"))
+    tasks = whole.unionByName(paired)
+    # the texts move by id once, and those of members once more to their tasks
+    work = texts.join(tasks.hint("merge"), "id").select("hub", "pair", "id", "text", "near")
     edges = work.repartition("hub", "pair").sortWithinPartitions("hub", "pair").mapInArrow(_confirm, "u long, v long")
     star = near.where("near and hub <> id").select(F.greatest("hub", "id").alias("u"), F.least("hub", "id").alias("v"))
     found = connected_components(stored(edges.unionByName(star).distinct(), "links"))
