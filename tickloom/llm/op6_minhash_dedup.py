@@ -228,8 +228,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
 
     # a large cluster: first every member against the hub, then only blocks with members that don't link to it
-    large = placed.where("blocks > 1")
-    hubs = texts.join(large.select("hub").distinct(), F.col("id") == F.col("hub")).select("hub", F.col("text").alias("hub_text")).dropDuplicates(["hub"])
+    # stored, so that its size is known: while it is small, texts are not moved for it
+    large = stored(placed.where("blocks > 1"), "large")
+    hubs = texts.join(large.where("hub = id").select("hub"), F.col("id") == F.col("hub")).select("hub", F.col("text").alias("hub_text")).dropDuplicates(["hub"])
     compared = texts.join(large, "id").join(hubs, "hub").select("hub", "id", "text", "hub_text").mapInArrow(_near_hub, "hub long, id long, near boolean")
     near = stored(compared, "near-hub")
     own = F.pmod(F.xxhash64("id"), F.col("blocks"))
