@@ -5,9 +5,14 @@ from __future__ import annotations
 import importlib
 
 MODULES = (
+    "op1_license_scan",
     "op2_line_dedup",
+    "op3_pii",
+    "op4_url_filter",
+    "op5_lm_scoring",
     "op6_minhash_dedup",
     "op7_quality_rules",
+    "op8_toxicity",
     "op9_decontamination",
     "op10_byte_bpe",
 )
