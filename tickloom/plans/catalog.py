@@ -346,9 +346,22 @@ def asset_rollup(spark, sf_dir: str) -> DataFrame:
     return segment_bytes(s, segment_plan(s)).groupBy("asset_id").agg(F.countDistinct("track_id").alias("tracks"), F.countDistinct("segment_index").alias("segments"), F.sum("bytes").alias("bytes"))
 
 
+def _parts() -> list:
+    # they use this module's SQL, so they are imported when it is complete
+    from tickloom.plans import clips, requests
+
+    return [clips, requests]
+
+
 def queries() -> dict:
-    return dict(Q)
+    found = dict(Q)
+    for part in _parts():
+        found |= part.Q
+    return found
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(SQL)
+    found = dict(SQL)
+    for part in _parts():
+        found |= part.SQL
+    return found
