@@ -9,8 +9,8 @@ takes its tag from the window in which it is most central, and spans are formed
 the whole text, so a span may cross windows.
 
 The tagger is trained here, with numpy: on spans made from formats (a fixed seed) and on at most
-TRAIN_DOCS documents and TRAIN_WINDOWS windows (the first by a hash of the id among those with
-base spans), whose base spans are the labels.
+TRAIN_DOCS documents and TRAIN_WINDOWS windows (of those with base spans, the document with the
+least hash of its id in each of TRAIN_DOCS buckets of that hash), whose base spans are the labels.
 
 Defined cases: a null or empty text has no spans; rows are judged one by one, so repeated rows
 and null ids give a row each; other columns are ignored; an empty table gives an empty result.
@@ -336,16 +336,25 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
     return out
 
 
-def train(docs: DataFrame, id_col: str, text_col: str) -> Tagger:
-    def with_spans(batches):
-        for batch in batches:
-            keep = [bool(t.as_py()) and bool(base_spans(t.as_py())) for t in batch.column(1)]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+def _least_by_bucket(batches):
+    """(bucket, h, text): of the rows with base spans, the one with the least h of each of TRAIN_DOCS buckets."""
+    best: dict[int, tuple[int, str]] = {}
+    for batch in batches:
+        for i, h in enumerate(batch.column(0).to_pylist()):
+            b = h % TRAIN_DOCS
+            if b not in best or h <= best[b][0]:
+                own = (h, batch.column(1)[i].as_py())
+                if (b not in best or own < best[b]) and base_spans(own[1]):
+                    best[b] = own
+    rows = sorted((b, *own) for b, own in best.items())
+    yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.int64(), pa.string()))], ["bucket", "h", "text"])
 
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
-    # parts around the spans suffice as examples; whole texts would be sent otherwise
-    ids = texts.mapInArrow(with_spans, "id long, text string").select("id", "text", F.xxhash64("id").alias("h"))
-    rows = ids.orderBy("h", "id", F.xxhash64("text")).limit(TRAIN_DOCS).select("text").toLocalIterator()
+
+def train(docs: DataFrame, id_col: str, text_col: str) -> Tagger:
+    texts = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    # a bucket a row: every task sends a row a bucket at most, and the buckets are dealt over the tasks that follow
+    least = texts.mapInArrow(_least_by_bucket, "bucket long, h long, text string").groupBy("bucket").agg(F.min(F.struct("h", "text")).alias("x"))
+    rows = least.orderBy("bucket").limit(TRAIN_DOCS).select("x.text").toLocalIterator()
     real = [(r.text, base_spans(r.text)) for r in rows]
     x, y = examples(made_texts())
     rx, ry = examples(real)
