@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     members = stored(clusters(reps.select("id", "keys")), "clusters")
 
     own_size = with_rep.where("id = rep").select("id", "n").dropDuplicates(["id"])
-    sizes = members.join(own_size, "id").groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles"))
+    # stored, so that the join below is of two plain tables and a hub with very many members can be split
+    sizes = stored(members.join(own_size, "id").groupBy("hub").agg(F.count(F.lit(1)).alias("docs"), F.sum("n").alias("shingles")), "sizes")
     blocks = F.greatest(F.ceil(F.col("docs") / BLOCK_DOCS), F.least(F.col("docs"), F.ceil(F.col("shingles") / BLOCK_SHINGLES)))
     placed = stored(members.join(sizes.select("hub", blocks.cast("long").alias("blocks")), "hub"), "placed")
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
