@@ -56,7 +56,9 @@ def fit(rows: list[np.ndarray], labels: list[int]) -> tuple[np.ndarray, np.ndarr
     """(slots, weights, intercept) of the weights that aren't zero."""
     if len(set(labels)) < 2:
         return np.zeros(0, np.int64), np.zeros(0), 0.0
-    seen = np.bincount(np.concatenate(rows), minlength=1 << BITS)
+    seen = np.zeros(1 << BITS, np.int32)
+    for x in rows:
+        seen[x] += 1
     rows = [x[seen[x] >= LEAST_ROWS] for x in rows]
     z, n = np.zeros(1 << BITS), np.zeros(1 << BITS)
     bias_z = bias_n = 0.0
@@ -96,9 +98,14 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
 
     texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
     got = texts.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long"), F.col("label").cast("int"), "text")
-    out = got.mapInArrow(features, "id long, label int, slots array<int>").toArrow().combine_chunks().sort_by([("id", "ascending")])
-    values, ends = out.column("slots").combine_chunks().flatten().to_numpy(), out.column("slots").combine_chunks().value_lengths().to_numpy().cumsum()
-    return fit(np.split(values, ends[:-1]) if len(ends) else [], out.column("label").to_pylist())
+    ids, own, rows = [], [], []
+    for batch in got.mapInArrow(features, "id long, label int, slots array<int>").toArrow().to_batches():
+        ids += batch.column("id").to_pylist()
+        own += batch.column("label").to_pylist()
+        ends = batch.column("slots").value_lengths().to_numpy().cumsum()
+        rows += np.split(batch.column("slots").flatten().to_numpy(), ends[:-1]) if len(ends) else []
+    order = sorted(range(len(ids)), key=ids.__getitem__)
+    return fit([rows[i] for i in order], [own[i] for i in order])
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
