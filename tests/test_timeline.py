@@ -53,7 +53,7 @@ def test_reads(spark):
     assert rows(got) == [(1, 0, 0, 30, 3), (1, 1, 5, 7, 1), (1, 2, 100, 150, 1)]
 
 
-@pytest.mark.parametrize("name", sorted(catalog.queries()))
+@pytest.mark.parametrize("name", sorted(catalog.oracle_sql()))
 def test_query_equals_sql(spark, name):
     con = duckdb.connect()
     for f in os.listdir(SF):
