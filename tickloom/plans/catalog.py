@@ -348,9 +348,9 @@ def asset_rollup(spark, sf_dir: str) -> DataFrame:
 
 def _parts() -> list:
     # they use this module's SQL, so they are imported when it is complete
-    from tickloom.plans import clips, formats, requests
+    from tickloom.plans import clips, formats, origin, requests
 
-    return [clips, requests, formats]
+    return [clips, requests, formats, origin]
 
 
 def queries() -> dict:
