@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tickloom.functions.captions import CaptionError, caption_kind, srt_cues, srt_time, ttml_cues, ttml_time
+from tickloom.functions.ciphers import ctr, pattern_decrypt, pattern_encrypt
 from tickloom.functions.tokens import hmac_sha256, sign, verify
 from tickloom.plans.formats import read_interleaved
 from tickloom.sources import boxes as b
@@ -146,3 +147,22 @@ def test_late_fragments(spark):
     parts = [[(1, 1, 0, 0, 10), (1, 1, 1, None, 10)], [(1, 1, 2, 15, 10), (1, 1, 3, None, 5), (1, 1, 4, 40, 1)]]
     got = in_parts([spark.createDataFrame(p, schema) for p in parts], ordered_fragments)
     assert [tuple(r)[2:] for r in got.orderBy("fragment").collect()] == [(0, 0, 10, False), (1, 10, 20, False), (2, 15, 25, True), (3, 20, 25, False), (4, 40, 41, False)]
+
+
+def test_ciphers(spark):
+    # fixed values: the public AES-128 examples of NIST SP 800-38A, F.2.1 and F.5.1
+    key, iv, counter = (bytes.fromhex(x) for x in ("2b7e151628aed2a6abf7158809cf4f3c", "000102030405060708090a0b0c0d0e0f", "f0f1f2f3f4f5f6f7f8f9fafbfcfdfeff"))
+    plain = bytes.fromhex("6bc1bee22e409f96e93d7e117393172a" "ae2d8a571e03ac9c9eb76fac45af8e51")
+    cbc = bytes.fromhex("7649abac8119b246cee98e9b12e9197d" "5086cb9b507219ee95db113a917678b2")
+    counted = bytes.fromhex("874d6191b620e3261bef6864990db6ce" "9806f66b7970fdff8617187bb9fffdff")
+
+    def run(f, *texts):
+        df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, d binary")
+        return [bytes(r[0]) for r in df.orderBy("i").select(f(F.col("d"))).collect()]
+
+    k, v, c = F.lit(key), F.lit(iv), F.lit(counter)
+    assert run(lambda d: pattern_encrypt(d, k, v, 1, 0), plain, plain + b"tail", b"", b"short") == [cbc, cbc + b"tail", b"", b"short"]
+    spaced = plain[:16] + b"n" * 144 + plain[16:] + b"x"
+    assert run(lambda d: pattern_encrypt(d, k, v), spaced) == [cbc[:16] + b"n" * 144 + cbc[16:] + b"x"]
+    assert run(lambda d: pattern_decrypt(d, k, v), cbc[:16] + b"n" * 144 + cbc[16:] + b"x") == [spaced]
+    assert run(lambda d: ctr(d, k, c), plain, plain[:21], b"", counted) == [counted, counted[:21], b"", plain]

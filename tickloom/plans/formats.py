@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.captions import srt_cues, ttml_files
+from tickloom.functions.ciphers import ctr, pattern_decrypt, pattern_encrypt
 from tickloom.functions.text import cue_time, xml_escape
 from tickloom.functions.tokens import sign, verify
 from tickloom.operators.ranges import CHUNK, gap_budget_reads
@@ -189,6 +190,17 @@ def segment_cipher(spark, sf_dir: str) -> DataFrame:
     return pages.select("page_id", F.octet_length("cipher").cast("bigint").alias("cipher_bytes"), F.sha2(plain, 256).alias("plain_sha256"))
 
 
+@_query("SELECT page_id, sha256(html) AS plain_sha256, octet_length(encode(html)) >= 16 AS changed, sha256(html) AS ctr_sha256 FROM pages WHERE html IS NOT NULL")
+def sample_ciphers(spark, sf_dir: str) -> DataFrame:
+    """Pattern CBC (one block of ten) and CTR of whole samples, and back."""
+    data, key, iv = F.col("html").cast("binary"), F.lit(bytes(range(16))), F.unhex(F.lpad(F.hex("page_id"), 32, "F"))
+    # each step is a column of its own: the next one names it many times
+    pages = table(spark, sf_dir, "pages").where("html is not null").select("page_id", data.alias("data"), key.alias("key"), iv.alias("iv"))
+    sealed = pages.select("*", pattern_encrypt(F.col("data"), F.col("key"), F.col("iv")).alias("sealed"), ctr(F.col("data"), F.col("key"), F.col("iv")).alias("counted"))
+    plain = pattern_decrypt(F.col("sealed"), F.col("key"), F.col("iv"))
+    return sealed.select("page_id", F.sha2(plain, 256).alias("plain_sha256"), (F.col("sealed") != F.col("data")).alias("changed"), F.sha2(ctr(F.col("counted"), F.col("key"), F.col("iv")), 256).alias("ctr_sha256"))
+
+
 #: Limits of reading interleaved runs together: runs, and chunks that are held back.
 MAX_RUNS, HELD_CHUNKS = 4, 4
 
