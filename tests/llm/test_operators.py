@@ -120,6 +120,34 @@ def test_lm_scoring(spark):
     assert op5_lm_scoring.lm_scores(empty_docs(spark), labels).count() == 0
 
 
+def brute_lm(texts, good):
+    """Losses of each text under both models, with every word and every pair counted."""
+    words, out = {d: re.findall("[a-z0-9]+", t.lower()) for d, t in texts.items()}, {d: [] for d in texts}
+    known = {w for ws in words.values() for w in ws}
+    for docs in (texts, good):
+        uni = Counter(w for d in docs for w in words[d])
+        kept = Counter(w for d in docs for w in words[d][:-1])
+        pairs = Counter(p for d in docs for p in zip(words[d], words[d][1:]))  # noqa: B905
+        p = lambda w, n=uni.total(), c=uni: (c[w] + 0.5) / (n + 0.5 * (len(known) + 1))
+        for d, ws in words.items():
+            q = [p(ws[0])] + [0.6 * pairs[v, w] / max(uni[v], 1) + (1 - 0.6 * kept[v] / max(uni[v], 1)) * p(w) for v, w in zip(ws, ws[1:])]  # noqa: B905
+            out[d].append(-sum(map(np.log, q)) / len(ws))
+    return out
+
+
+def test_lm_counts_rare_words_of_a_large_corpus(spark):
+    """Over 500,000 words, of which a share of 2e-6 is more than one."""
+    rng = random.Random(2)
+    texts = {d: " ".join(f"w{int(rng.paretovariate(0.6)) % 9999}" for _ in range(7000)) for d in range(90)}
+    texts |= {100 + d: f"Rare{d} pair{d} w1 w2 rare{d} pair{d}x" for d in range(20)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+    good = [3, 4, 101, 102]
+    labels = spark.createDataFrame([(d, 1) for d in good], "doc_id long, quality int")
+    want = brute_lm(texts, good)
+    for r in op5_lm_scoring.lm_scores(docs, labels).collect():
+        assert np.allclose([r.background_loss, r.target_loss, r.score], [*want[r.doc_id], want[r.doc_id][0] - want[r.doc_id][1]], atol=1e-9), r
+
+
 def brute_components(texts):
     def shingles(t):
         w = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))

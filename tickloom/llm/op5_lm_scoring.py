@@ -1,11 +1,14 @@
 """LM scoring: the difference of cross-entropies under a target and a background bigram model.
 
-Both models have the same form and share one vocabulary: the words with at least VOCAB_SHARE of
-all tokens (so at most 1 / VOCAB_SHARE words); others are one unknown word.  Word pairs of the
-vocabulary with at least PAIR_SHARE of all tokens are kept, again a bounded number however large
-the corpus; what the dropped pairs weigh backs off to the unigram model, so that each model
-still sums to one.  All counts are taken over all documents.  The background is every document,
-the target the documents whose label is 1.
+Both models have the same form and count every word and every word pair of all documents, so they
+grow with the corpus.  What a pair doesn't take backs off to the unigram model; each model sums to
+one.  The background is every document, the target the documents whose label is 1.
+
+The counts are never in one place.  The rows of a task are cut into chunks; a chunk sends each of
+its distinct keys (words and pairs) once, with its own counts, to the partition of the key, which
+adds up over all chunks and answers each of them.  So a key that every document has costs one
+entry a chunk.  A second pass sends each chunk's words, as indexes, to where the answers meet them;
+both passes have to see the same rows in the same tasks, as from stored tables.
 
 score = (loss under the background - loss under the target) / tokens, in nats: higher means more
 like the target.
@@ -19,18 +22,27 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm.tables import stored, table
-from tickloom.llm.textarrays import SpanHasher, Words, lower_table, separator_table, slices, text_buffer
+from tickloom.llm.textarrays import SpanHasher, Words, lower_table, mix64, separator_table, slices, text_buffer
 
+#: Of the SQL only, whose tables (scale 0.01 at most) have under 1 / 2e-6 tokens: there nothing is below a share.
 VOCAB_SHARE = PAIR_SHARE = 2e-6
 #: Weight of the pair estimate, and what is added to every unigram count.
 LAMBDA, ADD = 0.6, 0.5
 #: Ids of the target that are broadcast at most; more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
-FLUSH = 400_000
+#: Words of a chunk, unless one slice has more.
+CHUNK_WORDS = 1_000_000
+#: The last bit of a key says what it counts.
+WORD, PAIR = 0, 1
+OWN = "chunk long, data array<binary>"
+ASKED = "chunk long, part int, data array<binary>"
+ANSWER = ASKED + ", words long, b long, t long"
 
 
 def _hashed(batch_column):
@@ -40,140 +52,151 @@ def _hashed(batch_column):
     for a, b in slices(offsets):
         part, off = lower[data[offsets[a] : offsets[b]]], offsets[a : b + 1] - offsets[a]
         words = Words(part, off, sep)
-        yield a, b, hasher(part, words.starts, words.ends).view(np.int64), words.bounds
-
-
-class Counter:
-    """Counts of 64-bit keys in two columns, kept sorted; emitted when there are many."""
-
-    def __init__(self):
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.size = 0
-
-    def add(self, keys: np.ndarray, target: np.ndarray) -> None:
-        k, at = np.unique(keys, return_inverse=True)
-        self.parts.append((k, np.bincount(at, minlength=len(k)), np.bincount(at, target, len(k)).astype(np.int64)))
-        self.size += len(k)
-
-    def take(self):
-        keys = np.concatenate([p[0] for p in self.parts] or [np.zeros(0, np.int64)])
-        k, at = np.unique(keys, return_inverse=True)
-        cols = [np.bincount(at, np.concatenate([p[i] for p in self.parts] or [np.zeros(0)]), len(k)).astype(np.int64) for i in (1, 2)]
-        self.__init__()
-        return pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), *(pa.array(c, pa.int64()) for c in cols)], ["key", "b", "t"])
-
+        yield a, b, hasher(part, words.starts, words.ends), words.bounds
+
+
+def _pack(*arrays) -> list[bytes]:
+    """Compressed, lowest bytes of all numbers first."""
+    compress = zstandard.ZstdCompressor(level=1).compress
+    return [compress(np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.itemsize).T).tobytes()) for a in arrays]
+
+
+def _unpack(blobs, *kinds):
+    raw = [np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8) for b in blobs]
+    return [np.ascontiguousarray(r.reshape(np.dtype(k).itemsize, -1).T).view(k).ravel() for r, k in zip(raw, kinds, strict=True)]
+
+
+def _messages(rows, schema: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "array<binary>": pa.list_(pa.binary())}
+    fields = [c.split() for c in schema.split(", ")]
+    columns = zip(*rows, strict=True) if rows else [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, (_, k) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+
+
+def _kind(h: np.ndarray, kind: int) -> np.ndarray:
+    return (h & ~np.uint64(1)) | np.uint64(kind)
+
+
+class Chunk:
+    """Distinct keys of some rows, by partition and key, and where the rows have them."""
+
+    def __init__(self, vocab: np.ndarray, ids: np.ndarray, n: np.ndarray, parts: int):
+        """vocab: distinct word hashes; ids: the words of all rows as indexes into it; n: words of each row."""
+        self.vocab, self.ids, self.n = vocab, ids, n
+        self.row = np.repeat(np.arange(len(n)), n)
+        self.second = np.flatnonzero(self.row[1:] == self.row[:-1]) + 1
+        first = ids[self.second - 1]
+        pairs, self.pair_ids = np.unique(mix64(vocab[first] * np.uint64(0x9FB21C651E98DF25) + vocab[ids[self.second]]), return_inverse=True)
+        self.keys = np.concatenate([_kind(vocab, WORD), _kind(pairs, PAIR)])
+        part = ((self.keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+        self.order = np.argsort(self.keys, kind="stable")
+        self.cuts = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+
+    def counts(self, weight: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Own counts of the keys, a row of the chunk counting weight, and of these the words that end a row."""
+        v, size, w = len(self.vocab), len(self.keys), weight[self.row].astype(np.float64)
+        ends = np.cumsum(self.n)[self.n > 0] - 1
+        all_ = np.concatenate([np.bincount(self.ids, w, v), np.bincount(self.pair_ids, w[self.second], size - v)])
+        return all_.astype(np.int64), np.bincount(self.ids[ends], w[ends], size).astype(np.int64)
+
+    def losses(self, counts: np.ndarray, last: np.ndarray, total: int, words: int) -> np.ndarray:
+        """Losses of the rows, from the counts of all chunks."""
+        v, at = len(self.vocab), self.second
+        uni, pair = counts[:v].astype(np.float64), counts[v:]
+        kept = uni - last[:v]
+        p = (uni + ADD) / (total + ADD * (words + 1))
+        some = np.maximum(uni, 1)
+        first = self.ids[at - 1]
+        q = p[self.ids]
+        q[at] = LAMBDA * pair[self.pair_ids] / some[first] + (1 - LAMBDA * kept / some)[first] * q[at]
+        return -np.bincount(self.row, np.log(q), len(self.n))
+
+
+def _chunks(batches):
+    """(number, ids, target flags, words of each row, word hashes) of a task's chunks."""
+    chunk, size, held = TaskContext.get().partitionId() << 32, 0, ([], [], [], [])
+    for batch in batches:
+        ids, flags = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+        for a, b, h, bounds in _hashed(batch.column(1)):
+            for x, y in zip(held, (ids[a:b], flags[a:b], [np.diff(bounds)], [h]), strict=True):
+                x.extend(y)
+            size += len(h)
+            if size >= CHUNK_WORDS:
+                yield chunk, held[0], np.asarray(held[1], bool), np.concatenate(held[2]), np.concatenate(held[3])
+                chunk, size, held = chunk + 1, 0, ([], [], [], [])
+    if held[0]:
+        yield chunk, held[0], np.asarray(held[1], bool), np.concatenate(held[2]), np.concatenate(held[3])
+
+
+def _ask(parts: int):
+    """Each chunk's keys and counts, by partition."""
 
-def _count(make_keys):
     def run(batches):
-        counter = Counter()
-        for batch in batches:
-            flag = np.asarray(batch.column(1).to_pylist(), bool)
-            for a, b, h, bounds in _hashed(batch.column(0)):
-                keys, row = make_keys(h, bounds)
-                counter.add(keys, flag[a:b][row].astype(np.float64))
-                if counter.size > FLUSH:
-                    yield counter.take()
-        yield counter.take()
+        for chunk, _, flags, n, hashes in _chunks(batches):
+            own = Chunk(*np.unique(hashes, return_inverse=True), n, parts)
+            keys = own.keys[own.order]
+            counts = [c[own.order] for w in (np.ones(len(n)), flags) for c in own.counts(w)]
+            rows = [(chunk, i, _pack(np.diff(keys[x:y], prepend=np.uint64(0)), *(c[x:y] for c in counts))) for i, (x, y) in enumerate(zip(own.cuts[:-1], own.cuts[1:], strict=True)) if y > x]
+            yield _messages(rows, ASKED)
 
     return run
 
 
-def _tokens(h, bounds):
-    return h, np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-
-
-def _total(h, bounds):
-    keys, row = _tokens(h, bounds)
-    return np.zeros_like(keys), row
-
-
-def _in_vocab(vocab: np.ndarray, h: np.ndarray) -> np.ndarray:
-    """Index of each hash in the sorted vocabulary, or its size."""
-    at = np.minimum(np.searchsorted(vocab, h), max(len(vocab) - 1, 0))
-    return np.where(vocab[at] == h, at, len(vocab)) if len(vocab) else np.zeros(len(h), np.int64)
-
-
-def _pairs(vocab: np.ndarray):
-    def make(h, bounds):
-        ids, (_, row) = _in_vocab(vocab, h), _tokens(h, bounds)
-        ok = (row[1:] == row[:-1]) & (ids[1:] < len(vocab)) & (ids[:-1] < len(vocab))
-        return (ids[:-1][ok] << 32) | ids[1:][ok], row[1:][ok]
-
-    return make
-
-
-def _counts(texts: DataFrame, make_keys) -> DataFrame:
-    return texts.mapInArrow(_count(make_keys), "key long, b long, t long").groupBy("key").agg(F.sum("b").alias("b"), F.sum("t").alias("t"))
-
-
-def _numpy(df: DataFrame) -> tuple[np.ndarray, ...]:
-    """Columns of a table of bounded size, by key."""
-    t = df.toArrow()
-    cols = [c.to_numpy(zero_copy_only=False).astype(np.int64) for c in t.columns]
-    order = np.argsort(cols[0])
-    return tuple(c[order] for c in cols)
-
-
-class Model:
-    """Log probabilities under (background, target), row 0 and 1."""
-
-    def __init__(self, vocab, uni: np.ndarray, totals: np.ndarray, pairs, bi: np.ndarray):
-        self.vocab, self.pairs = vocab, pairs
-        v = len(vocab)
-        full = np.concatenate([uni, (totals - uni.sum(axis=1))[:, None]], axis=1).astype(np.float64)
-        p = (full + ADD) / (totals[:, None] + ADD * (v + 1))
-        self.uni = np.log(p)
-        first, second = pairs >> 32, pairs & 0xFFFFFFFF
-        kept = np.stack([np.bincount(first, bi[m], v + 1) for m in (0, 1)]) if len(pairs) else np.zeros((2, v + 1))
-        self.off = np.log1p(-LAMBDA * np.divide(kept, full, out=np.zeros_like(kept), where=full > 0))
-        share = np.divide(bi, full[:, first], out=np.zeros(bi.shape), where=full[:, first] > 0)
-        self.bi = np.log(LAMBDA * share + np.exp(self.off[:, first]) * p[:, second])
-
-    def __call__(self, h: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-        """Sums of the log probabilities of each row."""
-        ids = _in_vocab(self.vocab, h)
-        logp = self.uni[:, ids]
-        row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-        if len(ids) > 1:
-            inner = np.flatnonzero(row[1:] == row[:-1]) + 1
-            key = (ids[inner - 1] << 32) | ids[inner]
-            logp[:, inner] += self.off[:, ids[inner - 1]]
-            if len(self.pairs):
-                at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
-                hit = self.pairs[at] == key
-                logp[:, inner[hit]] = self.bi[:, at[hit]]
-        return np.stack([np.bincount(row, logp[m], len(bounds) - 1) for m in (0, 1)])
-
-
-def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str) -> Model:
-    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_t", F.lit(True))
-    if good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS:
-        good = F.broadcast(good)
-    texts = docs.join(good, F.col(id_col) == F.col("_id"), "left").select(F.col(text_col).cast("string").alias("text"), F.coalesce("_t", F.lit(False)).alias("t"))
-    total = _counts(texts, _total).first()
-    n_b, n_t = (total["b"], total["t"]) if total else (0, 0)
-    vocab, b, t = _numpy(stored(_counts(texts, _tokens).where(F.col("b") >= VOCAB_SHARE * n_b), "vocabulary"))
-    pairs, pb, pt = _numpy(stored(_counts(texts, _pairs(vocab)).where(F.col("b") >= PAIR_SHARE * n_b), "pairs"))
-    return Model(vocab, np.stack([b, t]), np.array([n_b, n_t], np.int64), pairs, np.stack([pb, pt]))
+def _own(batches):
+    """Each chunk's ids and words."""
+    for chunk, ids, _, n, hashes in _chunks(batches):
+        vocab, at, often = np.unique(hashes, return_inverse=True, return_counts=True)
+        # frequent words get small indexes, which compress better
+        rank = np.argsort(-often, kind="stable")
+        place = np.empty_like(rank)
+        place[rank] = np.arange(len(rank))
+        valid = np.asarray([i is not None for i in ids], bool)
+        data = _pack(np.asarray([0 if i is None else i for i in ids], np.int64), valid, n.astype(np.int64), vocab[rank], place[at].astype(np.int32))
+        yield _messages([(chunk, data)], OWN)
+
+
+def _answer(asked: pa.Table) -> pa.Table:
+    """Counts of a partition's keys over all chunks, sent back in the order asked."""
+    data = [_unpack(d, np.uint64, *[np.int64] * 4) for d in asked.column("data").to_pylist()]
+    keys, at = np.unique(np.concatenate([np.cumsum(d[0]) for d in data]), return_inverse=True)
+    counts = [np.bincount(at, np.concatenate([d[i] for d in data]), len(keys)).astype(np.int64) for i in (1, 2, 3, 4)]
+    word = (keys & np.uint64(1)) == WORD
+    said, end, out = (int(word.sum()), int(counts[0][word].sum()), int(counts[2][word].sum())), 0, []
+    for chunk, part, d in zip(asked.column("chunk").to_pylist(), asked.column("part").to_pylist(), data, strict=True):
+        mine, end = at[end : end + len(d[0])], end + len(d[0])
+        out.append((chunk, part, _pack(*(c[mine] for c in counts)), *said))
+        said = (0, 0, 0)
+    return pa.Table.from_batches([_messages(out, ANSWER)])
 
 
 def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:
     """(id, n_tokens, background_loss, target_loss, score) of each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(train(docs, labels, id_col, text_col, label_col))
-
-    def run(batches):
-        model = shared.value
-        for batch in batches:
-            n, losses = [np.zeros(0, np.int64)], [np.zeros((2, 0))]
-            for _a, _b, h, bounds in _hashed(batch.column(1)):
-                n.append(np.diff(bounds))
-                losses.append(-model(h, bounds))
-            n, losses = np.concatenate(n), np.concatenate(losses, axis=1)
-            per = losses / np.maximum(n, 1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c) for c in (n, per[0], per[1], per[0] - per[1]))], [id_col, "n_tokens", "background_loss", "target_loss", "score"])
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id")).distinct().withColumn("_t", F.lit(True))
+    few = good.limit(BROADCAST_IDS + 1).count() <= BROADCAST_IDS
+    texts = docs.join(F.broadcast(good) if few else good, F.col(id_col) == F.col("_id"), "left")
+    texts = texts.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"), F.coalesce("_t", F.lit(False)).alias("t"))
+    # both passes have to cut the same chunks, which a join by shuffle doesn't promise
+    texts = texts if few else stored(texts, "texts")
+    asked = texts.mapInArrow(_ask(parts), ASKED)
+    answers = stored(asked.groupBy("part").applyInArrow(_answer, ANSWER), "counts")
+    words, n_b, n_t = answers.agg(*[F.coalesce(F.sum(c), F.lit(0)) for c in ("words", "b", "t")]).first()
+
+    def score(own: pa.Table, met: pa.Table) -> pa.Table:
+        (data,) = own.column("data").to_pylist()
+        ids, valid, n, vocab, at = _unpack(data, np.int64, bool, np.int64, np.uint64, np.int32)
+        chunk = Chunk(vocab, at, n, parts)
+        told = dict(zip(met.column("part").to_pylist(), met.column("data").to_pylist(), strict=True))
+        told = [_unpack(told[part], *[np.int64] * 4) for part in sorted(told)]
+        counts = np.zeros((4, len(chunk.keys)), np.int64)
+        for i in range(4) if told else ():
+            counts[i, chunk.order] = np.concatenate([x[i] for x in told])
+        per = [chunk.losses(counts[i], counts[i + 1], total, words) / np.maximum(n, 1) for i, total in ((0, n_b), (2, n_t))]
+        return pa.table({id_col: pa.array(ids, pa.int64(), mask=~valid), "n_tokens": n, "background_loss": per[0], "target_loss": per[1], "score": per[0] - per[1]})
 
     ddl = f"`{id_col}` long, n_tokens long, background_loss double, target_loss double, score double"
-    return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, ddl)
+    own = texts.mapInArrow(_own, OWN)
+    return own.groupBy("chunk").cogroup(answers.select("chunk", "part", "data").groupBy("chunk")).applyInArrow(score, ddl)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
