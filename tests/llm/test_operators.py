@@ -232,6 +232,35 @@ def test_compression_bands():
     assert not op7_quality_rules.compression(rng.randbytes(20_000), compress)[3]
 
 
+def test_compression_verdicts(spark):
+    """Random and repetitive texts that pass the base rules go; ordinary ones stay."""
+    import base64
+
+    rng = random.Random(7)
+    lengths = (1500, 3000, 6000, 12_000, 40_000)
+
+    def cut(make, n):
+        out = ""
+        while len(out) < n:
+            out += make() + " "
+        return out[:n]
+
+    bad = {
+        "base64": [cut(lambda: base64.b64encode(rng.randbytes(9)).decode(), n) for n in lengths],
+        "printable": [cut(lambda: "".join(chr(rng.randint(33, 126)) for _ in range(12)), n) for n in lengths],
+        "letters": [cut(lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=12)), n) for n in lengths if n >= 3000],
+        # letters and hex overlap with ordinary text when short
+        "hex": [cut(lambda: "%012x" % rng.getrandbits(48), n) for n in lengths if n >= 12_000],
+        "counter": [cut(lambda i=iter(range(10**6)): f"item-{next(i):07d}", n) for n in lengths],
+    }
+    docs = [t for ts in bad.values() for t in ts]
+    for r in op7_quality_rules.quality_rules(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect():
+        assert not r.base_failed and not r.kept, (docs[r.doc_id][:40], r)
+    good = spark.read.parquet(SF + "/documents.parquet").join(spark.read.parquet(SF + "/labels.parquet").where("quality = 1"), "doc_id")
+    got = op7_quality_rules.quality_rules(good).where("not base_failed").collect()
+    assert len(got) > 20 and all(r.kept for r in got)
+
+
 def test_toxicity(spark):
     data = [(i, f"{LONG} {'vile' if i % 4 == 0 else 'kind'} {i}", int(i % 4 == 0)) for i in range(400)]
     docs = spark.createDataFrame([(i, t) for i, t, _ in data] + [(999, None)], "doc_id long, text string")
