@@ -23,8 +23,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Boilerplate lines go; n_chars follows the text.  A document of which no word is left goes too."""
-    out = op2_line_dedup.line_dedup(docs)
+    """Boilerplate lines go, and passages from fewer sites on; n_chars follows the text.  A document of which no word is left goes too."""
+    out = op2_line_dedup.line_dedup(docs, long_sites=op2_line_dedup.LONG_SITES)
     changed = F.col("_n_removed") > 0
     out = out.where(~changed | F.col("text").rlike(r"[^\x20\x09-\x0D]"))
     return out.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)

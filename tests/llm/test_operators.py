@@ -68,6 +68,23 @@ def test_line_dedup(spark):
     assert op2_line_dedup.line_dedup(empty_docs(spark)).count() == 0
 
 
+def test_pipeline_lines_remove_passages(spark):
+    """Whole-line passages on 3 to 9 sites, near each threshold; a short line on 9 sites and a passage on 2 stay."""
+    import corpus_pipeline
+
+    passage = {k: " ".join(f"{k}{i}" for i in range(n)) for k, n in (("three", 50), ("nine", 60), ("two", 60), ("short", 49))}
+    sites = {"three": 3, "nine": 9, "two": 2, "short": 9}
+    data = [(100 * j + i, f"own {k} {i}\n{passage[k]}\nend {k} {i}", "en", f"s{i % sites[k]}", 1) for j, k in enumerate(passage) for i in range(18)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r.doc_id: r for r in corpus_pipeline.lines(spark, docs, SF).collect()}
+    assert len(got) == len(data)
+    for d, text, *_ in data:
+        k = list(passage)[d // 100]
+        gone = k in ("three", "nine") and d % 100 > 0
+        want = text.replace(passage[k] + "\n", "") if gone else text
+        assert got[d].text == want and got[d].n_chars == (len(want) if gone else 1), (d, k)
+
+
 EMAIL, IP = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"), re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD, PHONE = re.compile(r"[0-9]([\x20-]?[0-9])+"), re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 

@@ -2,7 +2,7 @@
 
 Per line key an HLL sketch of the sites is built and merged by aggregation, so a line that
 every document has costs one sketch a map task.  The estimate decides for lines well above or
-below ``min_sites``; lines whose estimate lies within ``NEAR`` of it are counted exactly in a
+below ``min_sites`` (``long_sites`` for lines of LONG_WORDS words or more); lines whose estimate lies within ``NEAR`` of it are counted exactly in a
 second pass over these lines only.  Of a boilerplate line the first occurrence (smallest id,
 then position) stays, and all others are removed, so no text is lost from the corpus.
 
@@ -21,6 +21,9 @@ from pyspark.sql import functions as F
 from tickloom.llm.tables import stored, table
 
 MIN_SITES = 10
+#: Words from which on a line is a passage, and how many sites then suffice where passages go, too.  Copies of a
+#: whole text on two sites are left to the near-dedup, which keeps one text and no rest of another.
+LONG_WORDS, LONG_SITES = 50, 3
 #: 2 ** LG_K registers: a relative standard error of 1.04 / 2 ** (LG_K / 2), 2.3 per cent.
 LG_K = 11
 #: Estimates within this share of min_sites (over eight standard errors) are counted exactly.
@@ -33,37 +36,42 @@ def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def line_keys(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> DataFrame:
-    """(id, pos, key, site): a row for each line that isn't blank; the key is a pair of hashes, 96 bits."""
+def line_keys(docs: DataFrame, id_col: str, text_col: str, site_col: str, min_sites: int = MIN_SITES, long_sites: int | None = None) -> DataFrame:
+    """(id, pos, key, site, sites needed): a row for each line that isn't blank; the key is a pair of hashes, 96 bits."""
     each = docs.select(
         F.col(id_col).alias("_id"),
         F.xxhash64(F.coalesce(F.col(site_col).cast("string"), F.lit("\x00null"))).alias("_site"),
         F.posexplode(_lines(F.col(text_col).cast("string"))).alias("_pos", "_line"),
     )
     line = F.trim(F.col("_line"), F.lit(BLANKS))
-    return each.where(line != "").select("_id", "_site", "_pos", F.xxhash64(line).alias("_k1"), F.hash(line, F.length(line)).alias("_k2"))
+    need = F.lit(min_sites)
+    if long_sites is not None:
+        # so many words have a blank between any two
+        long = F.when(F.length(line) >= 2 * LONG_WORDS - 1, F.size(F.split(line, "[ \\t\\r\\x0b\\x0c]+")) >= LONG_WORDS)
+        need = F.when(long, F.lit(long_sites)).otherwise(need)
+    return each.where(line != "").select("_id", "_site", "_pos", F.xxhash64(line).alias("_k1"), F.hash(line, F.length(line)).alias("_k2"), need.alias("_need"))
 
 
-def boilerplate(lines: DataFrame, min_sites: int = MIN_SITES) -> DataFrame:
-    """(k1, k2, first id, first pos) of the lines that min_sites sites or more carry."""
+def boilerplate(lines: DataFrame) -> DataFrame:
+    """(k1, k2, first id, first pos) of the lines that as many sites carry as they need, or more."""
     firsts = F.min(F.struct("_id", "_pos"))
-    stats = lines.groupBy("_k1", "_k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("_est"), firsts.alias("_first"))
-    wide = stored(stats.where(F.col("_est") >= min_sites * (1 - NEAR)), "wide-lines")
-    sure = wide.where(F.col("_est") > min_sites * (1 + NEAR)).select("_k1", "_k2", "_first")
-    near = wide.where(F.col("_est") <= min_sites * (1 + NEAR))
+    need = F.max("_need").alias("_need")
+    stats = lines.groupBy("_k1", "_k2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("_site", F.lit(LG_K))).alias("_est"), firsts.alias("_first"), need)
+    wide = stored(stats.where(F.col("_est") >= F.col("_need") * (1 - NEAR)), "wide-lines")
+    sure = wide.where(F.col("_est") > F.col("_need") * (1 + NEAR)).select("_k1", "_k2", "_first")
+    near = wide.where(F.col("_est") <= F.col("_need") * (1 + NEAR))
     exact = (
         lines.join(near.select("_k1", "_k2"), ["_k1", "_k2"], "left_semi")
         .select("_k1", "_k2", "_site").distinct()
         .groupBy("_k1", "_k2").agg(F.count(F.lit(1)).alias("_n"))
-        .where(F.col("_n") >= min_sites)
     )
-    return sure.unionByName(near.join(exact, ["_k1", "_k2"]).select("_k1", "_k2", "_first"))
+    return sure.unionByName(near.join(exact, ["_k1", "_k2"]).where(F.col("_n") >= F.col("_need")).select("_k1", "_k2", "_first"))
 
 
-def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES) -> DataFrame:
+def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", min_sites: int = MIN_SITES, long_sites: int | None = None) -> DataFrame:
     """docs with text_col shortened, plus _n_lines and _n_removed.  Only line keys are shuffled, and texts once, by id."""
-    lines = line_keys(docs, id_col, text_col, site_col)
-    found = stored(boilerplate(lines, min_sites), "boilerplate")
+    lines = line_keys(docs, id_col, text_col, site_col, min_sites, long_sites)
+    found = stored(boilerplate(lines), "boilerplate")
     drop = (
         lines.join(found, ["_k1", "_k2"])
         .where((F.col("_id") != F.col("_first._id")) | (F.col("_pos") != F.col("_first._pos")) | F.col("_id").isNull())
