@@ -6,15 +6,20 @@ words select the same gram there, so every such shared span has a common fingerp
 fingerprint carries the word hashes up to WINDOW - K to either side; a common fingerprint is
 extended over them as far as both texts agree, and counts if the run has WINDOW words.
 
-Items of fewer than WINDOW words are one window.  For them, positions of the documents whose
-word is an item's first are looked up and the whole item is compared.
+Items of fewer than WINDOW words are one window.  They are found by the hash of their first K words
+(of all, if they have fewer), and the whole item is compared.
+
+The benchmark's hashes are put into bit sets (two bits a hash, 2 ** MAX_BITS bits at most), with which
+the scan drops fingerprints that no item has before they become rows.  The same plan holds for any
+benchmark: the bit sets grow with it, and beyond their bound more rows pass that match nothing.
 
 The benchmark side is broadcast while it has at most ``BROADCAST_ROWS`` fingerprints (checked by
 a count); beyond, the same join shuffles by fingerprint.
 
 Defined cases: a null or empty text has no words and isn't contaminated; rows are judged one by
-one, so repeated rows (and null ids) each give a row; an empty benchmark leaves all documents
-clean; other columns are ignored.
+one, so repeated rows (and null ids) each give a row; windows of an item without an id count as hits,
+but it has no place among the items; an empty benchmark leaves all documents clean; other columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -28,8 +33,8 @@ WINDOW, K = 13, 5
 W = WINDOW - K + 1
 SIDE = WINDOW - K
 BROADCAST_ROWS = 200_000
-#: Up to so many distinct fingerprints are also put into the scan as a set, which drops others before they become rows.
-LITERAL_ROWS = 20_000
+#: The bit sets have 2 ** LEAST_BITS bits, or more: SPARSE for each hash, up to 2 ** MAX_BITS (1 MB).
+LEAST_BITS, MAX_BITS, SPARSE = 16, 23, 256
 POS_BITS = 30
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _SEPARATORS = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
@@ -42,13 +47,13 @@ def word_hashes(text: Column) -> Column:
     return F.transform(F.filter(F.split(spaced, " "), lambda w: w != ""), lambda w: F.xxhash64(w))
 
 
-def _grams(h: Column) -> Column:
-    """For each position with K words from there on: 33 bits of their hash above 30 bits of position, so that the least of some is the smallest hash, the leftmost of equals."""
+def _grams(h: Column, k: int = K) -> Column:
+    """For each position with k words from there on: 33 bits of their hash above 30 bits of position, so that the least of some is the smallest hash, the leftmost of equals."""
     def packed(x, i):
-        fp = F.shiftrightunsigned(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, K)]), 31)
+        fp = F.shiftrightunsigned(F.xxhash64(x, *[F.get(h, i + j) for j in range(1, k)]), 31)
         return F.shiftleft(fp, POS_BITS).bitwiseOR(i.cast("bigint"))
 
-    return F.slice(F.transform(h, packed), 1, F.greatest(F.size(h) - (K - 1), F.lit(0)))
+    return F.slice(F.transform(h, packed), 1, F.greatest(F.size(h) - (k - 1), F.lit(0)))
 
 
 def _minima(g: Column) -> Column:
@@ -67,17 +72,51 @@ def _fp(m: Column) -> Column:
     return F.shiftrightunsigned(m, POS_BITS)
 
 
-def _context(h: Column, m: Column) -> Column:
-    """(pos, hash, words before, words from there on) of a fingerprint."""
+def _context(h: Column, m: Column, key: int) -> Column:
+    """(pos, hash, words before, words from there on) of a fingerprint (key 0) or of the first words of a short item (key: how many)."""
     return F.struct(
         _pos(m).alias("pos"),
         _fp(m).alias("fp"),
-        F.slice(h, F.greatest(_pos(m) - SIDE, F.lit(0)) + 1, F.least(_pos(m), F.lit(SIDE))).alias("left"),
-        F.slice(h, _pos(m) + 1, K + SIDE).alias("right"),
-        F.lit(False).alias("short"),
+        F.lit(key).alias("key"),
+        (F.array().cast("array<bigint>") if key else F.slice(h, F.greatest(_pos(m) - SIDE, F.lit(0)) + 1, F.least(_pos(m), F.lit(SIDE)))).alias("left"),
+        F.slice(h, _pos(m) + 1, WINDOW - 1 if key else K + SIDE).alias("right"),
     )
 
 
+def _contexts(h: Column, key: int):
+    return lambda m: _context(h, m, key)
+
+
+def _probes(fp: Column, bits: int) -> list[Column]:
+    """Two places in a bit set: the low and the high bits of a hash of 33 bits."""
+    return [fp.bitwiseAND((1 << bits) - 1), F.shiftrightunsigned(fp, 33 - bits)]
+
+
+class BitSet:
+    """Which hashes a benchmark may have.  Built by an aggregation, read in the scan as a constant."""
+
+    def __init__(self, fps: DataFrame):
+        """fps: distinct hashes in a column fp."""
+        self.n = fps.count()
+        self.bits = min(MAX_BITS, max(LEAST_BITS, (self.n * SPARSE).bit_length()))
+        at = fps.select(F.explode(F.array(*_probes(F.col("fp"), self.bits))).alias("at"))
+        one = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col("at").bitwiseAND(63).cast("int"))
+        words = ["0"] * (1 << self.bits - 6)
+        # 2 ** (MAX_BITS - 6) rows at most
+        for r in at.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(one).alias("bits")).toLocalIterator() if self.n else ():
+            words[r.word] = str(r.bits)
+        # split and cast of a constant are done once, when the plan is made
+        self.words = F.split(F.lit(",".join(words)), ",").cast("array<bigint>")
+
+    def test(self, m: Column) -> Column:
+        """Whether the benchmark may have the hash of a packed gram."""
+        found = F.lit(True)
+        for at in _probes(_fp(m), self.bits):
+            word = F.get(self.words, F.shiftright(at, 6).cast("int"))
+            found = found & (F.call_function("shiftright", word, at.bitwiseAND(63).cast("int")).bitwiseAND(1) == 1)
+        return found
+
+
 def _agree(a: Column, b: Column, most: int, back: bool) -> Column:
     """How many elements agree from the start (or the end) of two arrays."""
     def cell(x: Column, i: int) -> Column:
@@ -94,40 +133,41 @@ def _bounded(df: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, bench: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """One row for each row of docs: id, _n_words, _n_hit, _items (sorted strings), _spans (merged not)."""
+    """One row for each row of docs: id, _n_words, _n_hit, _items (sorted strings), _spans (not merged)."""
+    h, none = F.col("h"), F.array().cast("array<bigint>")
     items = bench.select(F.col(item_col).cast("string").alias("item"), word_hashes(F.col(item_text)).alias("h")).where(F.size("h") > 0)
     long_items = (
-        items.where(F.size("h") >= WINDOW).withColumn("g", _grams(F.col("h"))).withColumn("m", _minima(F.col("g")))
-        .select("item", F.explode(F.transform("m", lambda m: _context(F.col("h"), m))).alias("f"))
-        .select(F.col("f.fp").alias("fp"), "item", F.col("f.left").alias("i_left"), F.col("f.right").alias("i_right"))
+        items.where(F.size("h") >= WINDOW).withColumn("g", _grams(h)).withColumn("m", _minima(F.col("g")))
+        .select("item", F.explode(F.transform("m", lambda m: _context(h, m, 0))).alias("f"))
+        .select(F.col("f.fp").alias("fp"), F.lit(0).alias("key"), "item", F.col("f.left").alias("i_left"), F.col("f.right").alias("i_right"))
     )
-    none = F.array().cast("array<bigint>")
-    short_items = items.where(F.size("h") < WINDOW).select(F.get("h", F.lit(0)).alias("fp"), "item", none.alias("i_left"), F.col("h").alias("i_right"))
-    index = long_items.withColumn("short", F.lit(False)).unionByName(short_items.withColumn("short", F.lit(True)))
-    known = {s: [r.fp for r in index.where(F.col("short") == s).select("fp").distinct().limit(LITERAL_ROWS + 1).collect()] for s in (False, True)}
-
-    def among(fp: Column, short: bool) -> Column:
-        return F.lit(True) if len(known[short]) > LITERAL_ROWS else fp.isin(known[short])
+    heads = [items.where(F.size("h") == k if k < K else F.size("h").between(K, WINDOW - 1)).select(_fp(F.get(_grams(h, k), F.lit(0))).alias("fp"), F.lit(k).alias("key"), "item", none.alias("i_left"), h.alias("i_right")) for k in range(1, K + 1)]
+    index = long_items
+    for head in heads:
+        index = index.unionByName(head)
+    found = index.select("key", "fp").distinct()
+    among = {k: BitSet(found.where(F.col("key") == k).select("fp")) for k in sorted(r.key for r in found.select("key").distinct().collect())}
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), word_hashes(F.col(text_col)).alias("h"))
-    # without a gram among the benchmark's fingerprints no window of a text can match: such texts need no winnowing
-    rows = rows.withColumn("g", _grams(F.col("h")))
-    rows = rows.withColumn("m", F.when(F.exists("g", lambda x: among(_fp(x), False)), _minima(F.col("g"))).otherwise(none))
-    kind = "struct<pos:int,fp:bigint,left:array<bigint>,right:array<bigint>,short:boolean>"
-    marks = F.transform(F.filter("m", lambda m: among(_fp(m), False)), lambda m: _context(F.col("h"), m)).cast(f"array<{kind}>")
-    if known[True]:
-        at = F.filter(F.transform("h", lambda x, p: F.struct(x.alias("x"), p.alias("p"))), lambda s: among(s["x"], True))
-        heads = F.transform(at, lambda s: F.struct(s["p"], s["x"], none, F.slice(F.col("h"), s["p"] + 1, WINDOW - 1), F.lit(True)).cast(kind))
-        marks = F.concat(marks, heads)
+    rows = rows.withColumn("g", _grams(h))
+    kind = "struct<pos:int,fp:bigint,key:int,left:array<bigint>,right:array<bigint>>"
+    parts = [F.array(F.struct(F.lit(-1), F.lit(None).cast("bigint"), F.lit(0), none, none).cast(kind))]
+    for k, some in among.items():
+        at = F.col("g") if k in (0, K) else _grams(h, k)
+        if k == 0:
+            # without a gram among the benchmark's fingerprints no window of a text can match: such texts need no winnowing
+            rows = rows.withColumn("m", F.when(F.exists("g", some.test), _minima(F.col("g"))).otherwise(none))
+            at = F.col("m")
+        parts.append(F.transform(F.filter(at, some.test), _contexts(h, k)).cast(f"array<{kind}>"))
     # outer, though no array is empty: for an inner explode Spark would compute the arrays once more in a filter
-    row_mark = F.array(F.struct(F.lit(-1), F.lit(None).cast("bigint"), none, none, F.lit(False)).cast(kind))
-    each = rows.select("row", "id", F.size("h").alias("n"), F.explode_outer(F.concat(row_mark, marks)).alias("f")).select("row", "id", "n", "f.*")
-    met = each.join(_bounded(index), ["fp", "short"], "left").where((F.col("pos") < 0) | F.col("item").isNotNull())
+    each = rows.select("row", "id", F.size("h").alias("n"), F.explode_outer(F.concat(*parts)).alias("f")).select("row", "id", "n", "f.*")
+    met = each.join(_bounded(index.withColumn("matched", F.lit(True))), ["fp", "key"], "left").where((F.col("pos") < 0) | F.col("matched"))
 
-    before = F.when(F.col("short"), F.lit(0)).otherwise(_agree(F.col("left"), F.col("i_left"), SIDE, True))
+    short = F.col("key") > 0
+    before = F.when(short, F.lit(0)).otherwise(_agree(F.col("left"), F.col("i_left"), SIDE, True))
     after = _agree(F.col("right"), F.col("i_right"), K + SIDE, False)
     spans = met.withColumn("a", before).withColumn("b", after)
-    good = F.when(F.col("short"), F.col("b") == F.size("i_right")).otherwise((F.col("b") >= K) & (F.col("a") + F.col("b") >= WINDOW))
+    good = F.when(short, F.col("b") == F.size("i_right")).otherwise((F.col("b") >= K) & (F.col("a") + F.col("b") >= WINDOW))
     good = (F.col("pos") >= 0) & F.coalesce(good, F.lit(False))
     span = F.when(good, F.struct((F.col("pos") - F.col("a")).alias("s"), (F.col("pos") + F.col("b")).alias("e")))
     spans = spans.select("row", "id", "n", span.alias("span"), F.when(good, F.col("item")).alias("item")).where((F.col("pos") < 0) | good)
