@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import op2_line_dedup, op9_decontamination, tables
+from tickloom.llm import op2_line_dedup, op6_minhash_dedup, op9_decontamination, tables
 
 
 def rows(spark, data, schema="doc_id long, text string, source string"):
@@ -82,3 +82,39 @@ def test_hits_do_not_depend_on_the_bit_sets(spark, monkeypatch, most):
 def test_stored_tables_are_released(spark, tmp_path):
     df = tables.stored(spark.range(3).toDF("x"))
     assert df.count() == 3 and tables.release(spark) >= 1 and tables.release(spark) == 0
+
+
+def near(spark, data):
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    return sorted(((r.doc_id, r.n_shingles, r.component_id, r.kept) for r in op6_minhash_dedup.near_duplicates(docs).collect()), key=str)
+
+
+def test_near_copies_of_a_repeated_id(spark):
+    """Id 1 has two texts; document 3 is the second one and a word."""
+    a, b = (" ".join(f"{c}{i}" for i in range(60)) for c in "ab")
+    got = near(spark, [(1, a), (1, b), (3, b + " more"), (4, a)])
+    assert got == [(1, 56, 1, True), (1, 56, 1, True), (3, 57, 1, False), (4, 56, 1, False)]
+
+
+def test_near_copies_without_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    assert near(spark, [(None, text), (7, text + " x"), (None, "other words"), (None, ""), (8, None)]) == sorted(
+        [(None, 56, 7, False), (7, 57, 7, True), (None, 1, None, True), (None, 0, None, True), (8, 0, 8, True)], key=str
+    )
+
+
+def test_distinct_documents_by_row(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    data = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (None, text, "b"), (None, "x y", "c"), (None, "x y", "d"), (5, "", "e")]
+    docs = spark.createDataFrame(data, "doc_id long, text string, row string").withColumn("set_id", F.lit("s")).withColumn("doc", F.lit(1))
+    out = op6_minhash_dedup.distinct_documents(docs)
+    assert out.columns == docs.columns
+    got = sorted(((r.doc_id, r.text) for r in out.collect()), key=str)
+    assert got == sorted([(1, text), (None, "x y"), (5, "")], key=str)
+
+
+def test_contaminated_documents_go_whatever_their_ids(spark):
+    docs = spark.createDataFrame([(None, ITEM, 1), (2, ITEM, 1), (2, "clean words", 1), (None, "clean words", 1), (None, None, 1)], "doc_id long, text string, key int")
+    bench = spark.createDataFrame([(None, ITEM)], "item_id long, text string")
+    out = op9_decontamination.clean_documents(docs, bench)
+    assert out.columns == docs.columns and sorted(str(r.text) for r in out.collect()) == ["None", "clean words", "clean words"]

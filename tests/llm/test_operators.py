@@ -208,7 +208,7 @@ def test_near_duplicates_in_blocks(spark, monkeypatch):
 def test_entries_meet_within_distance():
     rng = np.random.default_rng(2)
     for _ in range(200):
-        a = rng.integers(0, 1 << 16, op6_minhash_dedup.SYMBOLS).astype(np.uint16)
+        a = rng.integers(0, 1 << 16, op6_minhash_dedup.INDEXED).astype(np.uint16)
         b = a.copy()
         at = rng.choice(len(a), op6_minhash_dedup.DISTANCE, replace=False)
         b[at] += 1

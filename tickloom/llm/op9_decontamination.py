@@ -181,6 +181,16 @@ def contaminated() -> Column:
     return (F.col("_n_hit") > 0) & (F.col("_n_hit") * 20 >= F.col("_n_words"))
 
 
+def clean_documents(docs: DataFrame, bench: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Rows of docs that aren't contaminated, all columns.  A verdict is on a text, so neither null nor repeated ids matter."""
+    text = F.col(f"`{text_col}`").cast("string")
+    key = F.struct(F.xxhash64(text).alias("a"), F.hash(text, F.length(text)).alias("b"))
+    found = decontaminate(docs.select(key.alias("key"), text.alias("text")), bench, "key", "text", item_col, item_text)
+    gone = found.where(contaminated()).select("key").distinct()
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), key.alias("key"))
+    return packed.join(gone, "key", "left_anti").select("doc.*")
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select(

@@ -45,9 +45,15 @@ def delete(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
-def release(spark: SparkSession) -> int:
-    """Deletes what ``stored`` has written so far; results that are still to be computed from it must have been written before."""
-    paths = _written.pop(spark.sparkContext.applicationId, [])
-    for path in paths:
+def written(spark: SparkSession) -> int:
+    """How many tables ``stored`` has written that are still there."""
+    return len(_written.get(spark.sparkContext.applicationId, []))
+
+
+def release(spark: SparkSession, since: int = 0) -> int:
+    """Deletes what ``stored`` has written (after the first ``since``); results still to be computed from it must have been written before."""
+    paths = _written.get(spark.sparkContext.applicationId, [])
+    gone, paths[since:] = paths[since:], []
+    for path in gone:
         delete(spark, path)
-    return len(paths)
+    return len(gone)
