@@ -2,6 +2,11 @@
 
 Quality rules, line dedup, MinHash near-dedup and benchmark decontamination drop what they
 reject; the last stage encodes what is left.  Every stage works on all rows of the one before.
+
+Defined cases: a null or empty text has no words and goes in the first stage; rows are judged one by one,
+so a null or repeated id neither saves nor costs a document, but for the near copies, of which the one
+with the least id stays, a row without an id only if none has one, and of equal rows one; of the columns
+only COLUMNS are read, so others don't matter; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -12,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tickloom.llm import op2_line_dedup, op6_minhash_dedup, op7_quality_rules, op9_decontamination, op10_byte_bpe
-from tickloom.llm.tables import shared_folder, table
+from tickloom.llm.tables import delete, release, shared_folder, table, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
@@ -31,16 +36,13 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
-    gone = op6_minhash_dedup.near_duplicates(docs.select("doc_id", "text")).where(~F.col("kept")).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """One document of each group of near copies: the one with the smallest id, null ids last."""
+    return op6_minhash_dedup.distinct_documents(docs).select(*docs.columns)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a contaminating share of benchmark text."""
-    found = op9_decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
-    gone = found.where(op9_decontamination.contaminated()).select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return op9_decontamination.clean_documents(docs, table(spark, sf_dir, "benchmark")).select(*docs.columns)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -64,7 +66,12 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(*COLUMNS)
     folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for i, (_name, stage) in enumerate(STAGES):
+        before = written(spark)
         out = stage(spark, docs, sf_dir)
         out.write.parquet(f"{folder}/{i}")
         docs = spark.read.schema(out.schema).parquet(f"{folder}/{i}")
+        # what the stage was made from isn't read again
+        release(spark, before)
+        if i:
+            delete(spark, f"{folder}/{i - 1}")
     return docs
