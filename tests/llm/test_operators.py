@@ -133,21 +133,25 @@ def test_url_filter(spark):
 def test_lm_scoring(spark):
     labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1)], "doc_id long, quality int")
     got = {r.doc_id: r for r in op5_lm_scoring.lm_scores(odd_docs(spark), labels).collect()}
-    assert got[0].n_tokens == 0 and got[0].score == 0 and got[4].score > got[8].score
+    assert got[0].n_tokens == 0 and got[0].score == 0 and got[5].target_loss < got[8].target_loss
     assert op5_lm_scoring.lm_scores(empty_docs(spark), labels).count() == 0
 
 
 def brute_lm(texts, good):
-    """Losses of each text under both models, with every word and every pair counted."""
+    """Losses of each text under both models, with every word and every pair counted but the text's own."""
     words, out = {d: re.findall("[a-z0-9]+", t.lower()) for d, t in texts.items()}, {d: [] for d in texts}
     known = {w for ws in words.values() for w in ws}
+    pairs_of = lambda ws: list(zip(ws, ws[1:]))  # noqa: B905, E731
     for docs in (texts, good):
         uni = Counter(w for d in docs for w in words[d])
         kept = Counter(w for d in docs for w in words[d][:-1])
-        pairs = Counter(p for d in docs for p in zip(words[d], words[d][1:]))  # noqa: B905
-        p = lambda w, n=uni.total(), c=uni: (c[w] + 0.5) / (n + 0.5 * (len(known) + 1))
+        pairs = Counter(p for d in docs for p in pairs_of(words[d]))
         for d, ws in words.items():
-            q = [p(ws[0])] + [0.6 * pairs[v, w] / max(uni[v], 1) + (1 - 0.6 * kept[v] / max(uni[v], 1)) * p(w) for v, w in zip(ws, ws[1:])]  # noqa: B905
+            own = [Counter(x if d in docs else ()) for x in (ws, ws[:-1], pairs_of(ws))]
+            n = uni.total() - own[0].total()
+            u = lambda w, own=own, c=uni: c[w] - own[0][w]
+            p = lambda w, n=n, u=u: (u(w) + 0.5) / (n + 0.5 * (len(known) + 1))
+            q = [p(ws[0])] + [0.6 * (pairs[v, w] - own[2][v, w]) / max(u(v), 1) + (1 - 0.6 * (kept[v] - own[1][v]) / max(u(v), 1)) * p(w) for v, w in pairs_of(ws)]
             out[d].append(-sum(map(np.log, q)) / len(ws))
     return out
 

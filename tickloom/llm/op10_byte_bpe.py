@@ -42,6 +42,17 @@ class PerfectHash:
 
     PER_BUCKET = 3
 
+    @classmethod
+    def of(cls, state: dict) -> PerfectHash:
+        """From plain values: what is broadcast, so that executors don't need this module to read it."""
+        own = cls.__new__(cls)
+        own.keys, own.shift, own.slot = state["keys"], state["shift"], state["slot"]
+        own.n, own.buckets = max(1, len(own.keys)), len(own.shift)
+        return own
+
+    def state(self) -> dict:
+        return {"keys": self.keys, "shift": self.shift, "slot": self.slot}
+
     def __init__(self, keys: list[bytes]):
         n = self.n = max(1, len(keys))
         self.keys, self.buckets = keys, max(1, n // self.PER_BUCKET)
@@ -151,9 +162,10 @@ class Encoder(dict):
 
 def _worker(shared, pattern: str, make, schema: pa.Schema):
     def run(batches):
-        table = shared.value  # one object for all tasks of a worker, which keeps what they have resolved
-        encoder = table.__dict__.get("encoder") or Encoder(table, pattern)
-        table.encoder = encoder
+        state = shared.value  # one object for all tasks of a worker, which keeps what they have resolved
+        if "encoder" not in state:
+            state["encoder"] = Encoder(PerfectHash.of(state), pattern)
+        encoder = state["encoder"]
         for batch in batches:
             rows = []
             for text in batch.column(1):
@@ -174,7 +186,7 @@ def _digests(encoder: Encoder, packed: bytes) -> tuple:
 
 def _apply(docs: DataFrame, ranks_path: str, pattern: str, make, fields: list[tuple[str, pa.DataType]], ddl: str, id_col: str, text_col: str) -> DataFrame:
     # the vocabulary is a file of fixed size (about 1 MB here), so its table is sent to all
-    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(ranks_path)))
+    shared = docs.sparkSession.sparkContext.broadcast(PerfectHash(read_ranks(ranks_path)).state())
     schema = pa.schema([(id_col, pa.int64()), *fields])
     return docs.select(F.col(id_col).cast("long"), F.col(text_col).cast("string")).mapInArrow(_worker(shared, pattern, make, schema), f"`{id_col}` long, {ddl}")
 

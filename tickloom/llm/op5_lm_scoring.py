@@ -2,7 +2,9 @@
 
 Both models have the same form and count every word and every word pair of all documents, so they
 grow with the corpus.  What a pair doesn't take backs off to the unigram model; each model sums to
-one.  The background is every document, the target the documents whose label is 1.
+one.  The background is every document, the target the documents whose label is 1.  A document isn't
+scored by itself: its own counts are taken off those of a model that has seen it, so a text that
+occurs once is new to both models, and one that occurs twice isn't.
 
 The counts are never in one place.  The rows of a task are cut into chunks; a chunk sends each of
 its distinct keys (words and pairs) once, with its own counts, to the partition of the key, which
@@ -30,8 +32,6 @@ from pyspark.sql import functions as F
 from tickloom.llm.tables import stored, table
 from tickloom.llm.textarrays import SpanHasher, Words, lower_table, mix64, separator_table, slices, text_buffer
 
-#: Of the SQL only, whose tables (scale 0.01 at most) have under 1 / 2e-6 tokens: there nothing is below a share.
-VOCAB_SHARE = PAIR_SHARE = 2e-6
 #: Weight of the pair estimate, and what is added to every unigram count.
 LAMBDA, ADD = 0.6, 0.5
 #: Ids of the target that are broadcast at most; more are joined by a shuffle.
@@ -99,16 +99,22 @@ class Chunk:
         all_ = np.concatenate([np.bincount(self.ids, w, v), np.bincount(self.pair_ids, w[self.second], size - v)])
         return all_.astype(np.int64), np.bincount(self.ids[ends], w[ends], size).astype(np.int64)
 
-    def losses(self, counts: np.ndarray, last: np.ndarray, total: int, words: int) -> np.ndarray:
-        """Losses of the rows, from the counts of all chunks."""
-        v, at = len(self.vocab), self.second
-        uni, pair = counts[:v].astype(np.float64), counts[v:]
-        kept = uni - last[:v]
-        p = (uni + ADD) / (total + ADD * (words + 1))
-        some = np.maximum(uni, 1)
-        first = self.ids[at - 1]
-        q = p[self.ids]
-        q[at] = LAMBDA * pair[self.pair_ids] / some[first] + (1 - LAMBDA * kept / some)[first] * q[at]
+    def own(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How often a word's row has it, how often it has it with a word after it, and how often a pair's row has the pair."""
+        words, pairs = (np.unique(row * (len(self.keys) + 1) + ids, return_inverse=True, return_counts=True)[1:] for row, ids in ((self.row, self.ids), (self.row[self.second], self.pair_ids)))
+        word = words[1][words[0]].astype(np.float64)
+        ends = np.cumsum(self.n) - 1
+        return word, word - (self.ids == self.ids[ends[self.row]]), pairs[1][pairs[0]].astype(np.float64)
+
+    def losses(self, counts: np.ndarray, last: np.ndarray, total: int, words: int, mine: np.ndarray, own) -> np.ndarray:
+        """Losses of the rows, from the counts of all chunks; mine: rows whose own counts are among them."""
+        v, at, less = len(self.vocab), self.second, mine[self.row].astype(np.float64)
+        uni = counts[:v].astype(np.float64)[self.ids] - own[0] * less
+        kept = (counts - last)[:v].astype(np.float64)[self.ids] - own[1] * less
+        pair = counts[v:].astype(np.float64)[self.pair_ids] - own[2] * less[at]
+        q = (uni + ADD) / (total - (self.n * mine)[self.row] + ADD * (words + 1))
+        some = np.maximum(uni[at - 1], 1)
+        q[at] = LAMBDA * pair / some + (1 - LAMBDA * kept[at - 1] / some) * q[at]
         return -np.bincount(self.row, np.log(q), len(self.n))
 
 
@@ -144,14 +150,14 @@ def _ask(parts: int):
 
 def _own(batches):
     """Each chunk's ids and words."""
-    for chunk, ids, _, n, hashes in _chunks(batches):
+    for chunk, ids, flags, n, hashes in _chunks(batches):
         vocab, at, often = np.unique(hashes, return_inverse=True, return_counts=True)
         # frequent words get small indexes, which compress better
         rank = np.argsort(-often, kind="stable")
         place = np.empty_like(rank)
         place[rank] = np.arange(len(rank))
         valid = np.asarray([i is not None for i in ids], bool)
-        data = _pack(np.asarray([0 if i is None else i for i in ids], np.int64), valid, n.astype(np.int64), vocab[rank], place[at].astype(np.int32))
+        data = _pack(np.asarray([0 if i is None else i for i in ids], np.int64), valid, flags, n.astype(np.int64), vocab[rank], place[at].astype(np.int32))
         yield _messages([(chunk, data)], OWN)
 
 
@@ -184,14 +190,15 @@ def lm_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_c
 
     def score(own: pa.Table, met: pa.Table) -> pa.Table:
         (data,) = own.column("data").to_pylist()
-        ids, valid, n, vocab, at = _unpack(data, np.int64, bool, np.int64, np.uint64, np.int32)
+        ids, valid, flags, n, vocab, at = _unpack(data, np.int64, bool, bool, np.int64, np.uint64, np.int32)
         chunk = Chunk(vocab, at, n, parts)
         told = dict(zip(met.column("part").to_pylist(), met.column("data").to_pylist(), strict=True))
         told = [_unpack(told[part], *[np.int64] * 4) for part in sorted(told)]
         counts = np.zeros((4, len(chunk.keys)), np.int64)
         for i in range(4) if told else ():
             counts[i, chunk.order] = np.concatenate([x[i] for x in told])
-        per = [chunk.losses(counts[i], counts[i + 1], total, words) / np.maximum(n, 1) for i, total in ((0, n_b), (2, n_t))]
+        mine = chunk.own() if len(at) else None
+        per = [chunk.losses(counts[i], counts[i + 1], total, words, seen, mine) / np.maximum(n, 1) if mine else np.zeros(len(n)) for i, total, seen in ((0, n_b, np.ones(len(n), bool)), (2, n_t, flags))]
         return pa.table({id_col: pa.array(ids, pa.int64(), mask=~valid), "n_tokens": n, "background_loss": per[0], "target_loss": per[1], "score": per[0] - per[1]})
 
     ddl = f"`{id_col}` long, n_tokens long, background_loss double, target_loss double, score double"
@@ -210,19 +217,24 @@ WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(t
   doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good FROM documents),
 t AS (SELECT doc_id, good, p, w[p] AS w, w[p - 1] AS v FROM (SELECT doc_id, good, w, unnest(range(1, len(w) + 1)) AS p FROM d)),
 n AS (SELECT count(*) AS b, coalesce(sum(good::INT), 0) AS t FROM t),
-u AS (SELECT w, count(*) AS b, sum(good::INT) AS t FROM t GROUP BY w HAVING count(*) >= {VOCAB_SHARE} * (SELECT b FROM n)),
-x AS (SELECT count(*) AS v, sum(b) AS b, sum(t) AS t FROM u),
-k AS (SELECT t.doc_id, t.good, t.p, coalesce(a.w, '') AS w, CASE WHEN t.p > 1 THEN coalesce(c.w, '') END AS v
-  FROM t LEFT JOIN u a ON t.w = a.w LEFT JOIN u c ON t.p > 1 AND t.v = c.w),
-g AS (SELECT v, w, count(*) AS b, sum(good::INT) AS t FROM k WHERE p > 1 AND v <> '' AND w <> '' GROUP BY v, w HAVING count(*) >= {PAIR_SHARE} * (SELECT b FROM n)),
-full_u AS (SELECT w, b, t FROM u UNION ALL SELECT '', n.b - x.b, n.t - x.t FROM n, x),
-m AS (SELECT f.w, f.b, f.t, (f.b + {ADD}) / (n.b + {ADD} * (x.v + 1)) AS pb, (f.t + {ADD}) / (n.t + {ADD} * (x.v + 1)) AS pt,
-  1 - {LAMBDA} * CASE WHEN f.b > 0 THEN coalesce(s.b, 0) / f.b ELSE 0 END AS ob, 1 - {LAMBDA} * CASE WHEN f.t > 0 THEN coalesce(s.t, 0) / f.t ELSE 0 END AS ot
-  FROM full_u f CROSS JOIN n CROSS JOIN x LEFT JOIN (SELECT v, sum(b)::DOUBLE AS b, sum(t)::DOUBLE AS t FROM g GROUP BY v) s ON f.w = s.v),
-l AS (SELECT k.doc_id,
-  CASE WHEN k.p = 1 THEN a.pb ELSE {LAMBDA} * coalesce(g.b, 0) / greatest(c.b, 1) + c.ob * a.pb END AS qb,
-  CASE WHEN k.p = 1 THEN a.pt ELSE {LAMBDA} * coalesce(g.t, 0) / greatest(c.t, 1) + c.ot * a.pt END AS qt
-  FROM k JOIN m a ON k.w = a.w LEFT JOIN m c ON k.v = c.w LEFT JOIN g ON k.v = g.v AND k.w = g.w),
+u AS (SELECT w, count(*) AS b, sum(good::INT) AS t FROM t GROUP BY w),
+x AS (SELECT count(*) AS v FROM u),
+g AS (SELECT v, w, count(*) AS b, sum(good::INT) AS t FROM t WHERE p > 1 GROUP BY v, w),
+s AS (SELECT v, sum(b) AS b, sum(t) AS t FROM g GROUP BY v),
+ou AS (SELECT doc_id, w, count(*) AS n FROM t GROUP BY doc_id, w),
+os AS (SELECT doc_id, v, count(*) AS n FROM t WHERE p > 1 GROUP BY doc_id, v),
+og AS (SELECT doc_id, v, w, count(*) AS n FROM t WHERE p > 1 GROUP BY doc_id, v, w),
+dn AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id),
+c AS (SELECT t.doc_id, t.p, (u.b - ou.n + {ADD}) / (n.b - dn.n + {ADD} * (x.v + 1)) AS pb,
+  (u.t - t.good::INT * ou.n + {ADD}) / (n.t - t.good::INT * dn.n + {ADD} * (x.v + 1)) AS pt,
+  g.b - og.n AS gb, g.t - t.good::INT * og.n AS gt, s.b - os.n AS sb, s.t - t.good::INT * os.n AS st,
+  greatest(f.b - fo.n, 1) AS fb, greatest(f.t - t.good::INT * fo.n, 1) AS ft
+  FROM t CROSS JOIN n CROSS JOIN x JOIN dn ON t.doc_id = dn.doc_id JOIN u ON t.w = u.w JOIN ou ON t.doc_id = ou.doc_id AND t.w = ou.w
+  LEFT JOIN u f ON t.v = f.w AND t.p > 1 LEFT JOIN ou fo ON t.doc_id = fo.doc_id AND t.v = fo.w AND t.p > 1
+  LEFT JOIN s ON t.v = s.v AND t.p > 1 LEFT JOIN os ON t.doc_id = os.doc_id AND t.v = os.v AND t.p > 1
+  LEFT JOIN g ON t.v = g.v AND t.w = g.w AND t.p > 1 LEFT JOIN og ON t.doc_id = og.doc_id AND t.v = og.v AND t.w = og.w AND t.p > 1),
+l AS (SELECT doc_id, CASE WHEN p = 1 THEN pb ELSE {LAMBDA} * gb / fb + (1 - {LAMBDA} * sb / fb) * pb END AS qb,
+  CASE WHEN p = 1 THEN pt ELSE {LAMBDA} * gt / ft + (1 - {LAMBDA} * st / ft) * pt END AS qt FROM c),
 r AS (SELECT doc_id, count(*) AS n, -sum(ln(qb)) / count(*) AS lb, -sum(ln(qt)) / count(*) AS lt FROM l GROUP BY doc_id)
 SELECT d.doc_id, coalesce(r.n, 0)::BIGINT AS n_tokens, round(coalesce(lb, 0), 6) + 0.0 AS background_loss, round(coalesce(lt, 0), 6) + 0.0 AS target_loss,
   round(coalesce(lb - lt, 0), 6) + 0.0 AS score
