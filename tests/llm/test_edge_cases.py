@@ -1,9 +1,17 @@
 """Nulls, repeated ids, clashing names and empty tables: the defined result of each operator."""
 
+import itertools
+import math
+import random
+import re
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tickloom.llm import op2_line_dedup, op6_minhash_dedup, op9_decontamination, tables
+from tickloom.llm import op2_line_dedup, op4_url_filter, op6_minhash_dedup, op8_toxicity, op9_decontamination, tables
+
+SF = "/root/testdata/sf0.001"
 
 
 def rows(spark, data, schema="doc_id long, text string, source string"):
@@ -118,3 +126,115 @@ def test_contaminated_documents_go_whatever_their_ids(spark):
     bench = spark.createDataFrame([(None, ITEM)], "item_id long, text string")
     out = op9_decontamination.clean_documents(docs, bench)
     assert out.columns == docs.columns and sorted(str(r.text) for r in out.collect()) == ["None", "clean words", "clean words"]
+
+
+def test_ftrl_equals_a_scalar_version():
+    """One number at a time, features in dictionaries."""
+    rng = np.random.default_rng(4)
+    rows = [np.unique(rng.integers(0, 40, 12)) for _ in range(120)]
+    labels = [int(3 in r) for r in rows]
+    z, n, order = {}, {}, np.random.Generator(np.random.PCG64(3))
+    seen = {s: sum(s in r for r in rows) for s in range(40)}
+
+    def weight(k, l1):
+        v = z.get(k, 0.0)
+        return 0.0 if abs(v) <= l1 else -(v - math.copysign(l1, v)) / ((op8_toxicity.BETA + math.sqrt(n.get(k, 0.0))) / op8_toxicity.ALPHA + op8_toxicity.L2)
+
+    for _ in range(op8_toxicity.EPOCHS):
+        for i in order.permutation(len(rows)):
+            keys = [int(s) for s in rows[i] if seen[s] >= op8_toxicity.LEAST_ROWS] + ["bias"]
+            w = {k: weight(k, 0.0 if k == "bias" else op8_toxicity.L1) for k in keys}
+            g = (1 / (1 + math.exp(-sum(w.values()))) - labels[i]) * (op8_toxicity.POSITIVE if labels[i] else 1.0)
+            for k in keys:
+                sigma = (math.sqrt(n.get(k, 0.0) + g * g) - math.sqrt(n.get(k, 0.0))) / op8_toxicity.ALPHA
+                z[k] = z.get(k, 0.0) + g - sigma * w[k]
+                n[k] = n.get(k, 0.0) + g * g
+    want = {s: weight(s, op8_toxicity.L1) for s in range(40)}
+    slots, weights, bias = op8_toxicity.fit(rows, labels)
+    assert dict(zip(slots.tolist(), np.round(weights, 9), strict=True)) == {s: round(w, 9) for s, w in want.items() if w}
+    assert abs(bias - weight("bias", 0.0)) < 1e-9 and 3 in want and want[3] > 0
+
+
+def test_toxicity_of_repeated_training_ids_and_clashes(spark):
+    """Copies of a labelled id count once, and the bound on features holds."""
+    data = [(i, f"kind words here {'vile thing' if i % 3 == 0 else 'nice thing'} {i}", i) for i in range(200)]
+    docs = spark.createDataFrame(data, "doc_id long, text string, label int").withColumn("h", F.lit(1)).withColumn("score", F.lit(2.0))
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(200)] + [(None, 1), (7, 5)], "doc_id long, toxic int")
+    once, twice = (op8_toxicity.train(d, labels, "doc_id", "text", "toxic") for d in (docs, docs.unionAll(docs).unionAll(docs)))
+    assert (once[0] == twice[0]).all() and np.allclose(once[1], twice[1]) and len(once[0])
+    out = op8_toxicity.toxicity(docs.unionAll(spark.createDataFrame([(None, "vile thing " * 50_000, 0, 1, 0.0)], docs.schema)), labels)
+    got = {r.doc_id: r.score for r in out.collect()}
+    assert out.columns == ["doc_id", "held_out", "score", "predicted"] and len(got) == 201 and got[None] > got[1]
+
+
+def test_toxicity_features_are_bounded(spark, monkeypatch):
+    monkeypatch.setattr(op8_toxicity, "TRAIN_SLOTS", 40)
+    taken = []
+    monkeypatch.setattr(op8_toxicity, "fit", lambda rows, labels: taken.append(sum(map(len, rows))) or (np.zeros(0, np.int64), np.zeros(0), 0.0))
+    docs = spark.createDataFrame([(i, f"a{i} b{i} c{i}") for i in range(60)], "doc_id long, text string")
+    op8_toxicity.train(docs, spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int"), "doc_id", "text", "toxic")
+    assert 34 < taken[0] <= 40
+
+
+def brute_rules(labelled):
+    """Every combination of tokens, by counting."""
+    n = len(labelled)
+    tokens = sorted({t for ts, _ in labelled for t in ts})
+    extent = {t: frozenset(i for i, (ts, _) in enumerate(labelled) if t in ts) for t in tokens}
+    alone = [t for t in tokens if len(extent[t]) >= op4_url_filter.MIN_SUPPORT * n and not any(extent[u] == extent[t] and u < t for u in tokens)]
+    rules = set()
+    for k in range(1, len(alone) + 1):
+        for need in itertools.combinations(alone, k):
+            have = frozenset.intersection(*[extent[t] for t in need])
+            blocked = sum(labelled[i][1] == "block" for i in have)
+            if have and blocked >= op4_url_filter.MIN_SUPPORT * n and blocked / len(have) >= op4_url_filter.MIN_CONFIDENCE:
+                rules.add(need)
+    return {r for r in rules if not any(tuple(x for x in r if x != t) in rules for t in r)}
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = random.Random(8)
+    rows = []
+    for _ in range(300):
+        ts = {"s:http", f"h:{rng.choice('abc')}", f"p0:{rng.choice('xyz')}"} | ({"q:k", "q:l"} if rng.random() < 0.3 else set())
+        bad = ("h:a" in ts and "p0:x" in ts) or "q:k" in ts and "h:b" in ts
+        rows.append((sorted(ts), "block" if bad or rng.random() < 0.02 else "allow"))
+    df = spark.createDataFrame([(i, t, v) for i, (t, v) in enumerate(rows)], "row long, tokens array<string>, verdict string")
+    got = {tuple(r.need) for r in op4_url_filter.mine(df).collect()}
+    assert got == brute_rules(rows) and ("h:a", "p0:x") in got and ("h:b", "q:k") in got
+
+
+def test_url_tokens_that_all_share_are_mined_in_bounded_time(spark):
+    """Thirty tokens in every URL, and thirty that differ a little: 2 ** 60 combinations without the bound."""
+    rng = random.Random(1)
+    same = "&".join(f"k{i}=1" for i in range(30))
+    pages = []
+    for i in range(200):
+        own = "&".join(f"m{j}=1" for j in range(30) if rng.random() < 0.95)
+        pages.append((i, f"http://x.com/{'de' if i % 2 else 'fr'}/p?{same}&{own}{'&bad=1' if i % 2 else ''}"))
+    pages += [(1000, f"http://y.net/p?{same}&bad=1"), (1001, f"http://y.net/p?{same}"), (None, None), (1000, f"http://y.net/p?{same}&bad=1")]
+    df = spark.createDataFrame(pages, "page_id long, url string").withColumn("rule", F.lit("x")).withColumn("row", F.lit(1)).withColumn("need", F.lit(0))
+    out = op4_url_filter.url_filter(df)
+    got = sorted(((r.page_id, r.verdict) for r in out.where("page_id >= 1000 or page_id is null").collect()), key=str)
+    assert got == [(1000, "block"), (1000, "block"), (1001, "allow"), (None, "allow")] and out.count() == 204
+
+
+def brute_url(url):
+    """Host, path, rule and its verdict."""
+    host = path = ""
+    if url is not None and "://" in url:
+        rest = re.split("[?#]", url.split("://", 1)[1], maxsplit=1)[0]
+        host, slash, path = rest.partition("/")
+        host, path = "".join(c.lower() if "A" <= c <= "Z" else c for c in host), slash + path
+    fits = [(h + p, v) for v, h, p in op4_url_filter.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    return host, path, *(max(fits, key=lambda f: len(f[0])) if fits else (None, None))
+
+
+def test_url_query_equals_brute_force(spark):
+    got = {r.page_id: r for r in op4_url_filter.query(spark, SF).collect()}
+    pages = spark.read.parquet(f"{SF}/pages.parquet").collect()
+    assert len(got) == len(pages)
+    for p in pages:
+        host, path, rule, verdict = brute_url(p.url)
+        r = got[p.page_id]
+        assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict), p.url

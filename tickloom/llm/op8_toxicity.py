@@ -4,12 +4,13 @@ Features of a text are the distinct hashes of its words, word pairs and pairs wi
 between them, in 2 ** BITS slots.  FTRL gives each slot its own learning rate and, with its L1
 term, leaves most weights at exactly zero: what is sent to the workers are the other ones.
 
-Training uses at most TRAIN_ROWS labelled rows (the first by a hash of the id), and only ids
-whose crc32 (of the id as text) has a remainder other than 1 by 3; the rest is held out.  Only
-the text enters a score.
+Training uses at most TRAIN_ROWS labelled rows with TRAIN_SLOTS features together (the first by a
+hash of the id; both are parameters that bound what the driver gathers), and only ids whose crc32 (of
+the id as text) has a remainder other than 1 by 3; the rest is held out.  Only the text enters a score.
 
 Defined cases: null and empty texts get the score of the intercept alone; labels other than 0
-and 1 and null ids are not learnt from; of an id with several labels the largest counts; without
+and 1 and null ids are not learnt from; of an id with several labels the largest counts, of an id with
+several texts the one whose features come first; without
 labelled rows of both classes every score is 0.5; repeated rows are scored alike; other columns
 are ignored; an empty table gives an empty result.
 """
@@ -21,11 +22,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import table
+from tickloom.llm.tables import stored, table
 from tickloom.llm.textarrays import SpanHasher, Words, lower_table, mix64, separator_table, slices, text_buffer
 
 BITS = 20
-TRAIN_ROWS = 16_000
+TRAIN_ROWS, TRAIN_SLOTS = 16_000, 24_000_000
 ALPHA, BETA, L1, L2, EPOCHS = 0.5, 1.0, 20.0, 0.5, 6
 #: How much more a positive row weighs; training rows a slot has to occur in.
 POSITIVE, LEAST_ROWS = 8.0, 5
@@ -88,7 +89,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
     chosen = (
         labels.where(F.col(id_col).isNotNull() & F.col(label_col).isin(0, 1) & ~held_out(id_col))
         .groupBy(id_col).agg(F.max(label_col).alias("label"))
-        .orderBy(F.xxhash64(F.col(id_col)), id_col).limit(TRAIN_ROWS)
+        .orderBy(F.xxhash64(F.col(id_col).cast("long")), id_col).limit(TRAIN_ROWS)
     )
 
     def features(batches):
@@ -96,10 +97,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_
             rows = list(_slots(batch.column(2), True))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(rows, pa.list_(pa.int32()))], ["id", "label", "slots"])
 
-    texts = docs.select(F.col(id_col), F.col(text_col).cast("string").alias("text"))
-    got = texts.join(F.broadcast(chosen), id_col).select(F.col(id_col).cast("long"), F.col("label").cast("int"), "text")
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
+    got = texts.join(F.broadcast(chosen.withColumnRenamed(id_col, "id")), "id").select(F.col("id").cast("long"), F.col("label").cast("int"), "text")
+    # one row an id before anything is gathered
+    each = got.mapInArrow(features, "id long, label int, slots array<int>").groupBy("id").agg(F.max("label").alias("label"), F.min("slots").alias("slots"))
+    each = stored(each.select("id", "label", "slots", F.size("slots").alias("n"), F.xxhash64("id").alias("h")), "training-rows")
+    # TRAIN_ROWS numbers say where the features of all together reach their bound
+    sizes = sorted((r.h, r.n) for r in each.select("h", "n").collect())
+    total = np.cumsum([n for _, n in sizes])
+    few = each if not len(total) or total[-1] <= TRAIN_SLOTS else each.where(F.col("h") < sizes[int(np.searchsorted(total, TRAIN_SLOTS, "right"))][0])
     ids, own, rows = [], [], []
-    for batch in got.mapInArrow(features, "id long, label int, slots array<int>").toArrow().to_batches():
+    for batch in few.select("id", "label", "slots").toArrow().to_batches():
         ids += batch.column("id").to_pylist()
         own += batch.column("label").to_pylist()
         ends = batch.column("slots").value_lengths().to_numpy().cumsum()
