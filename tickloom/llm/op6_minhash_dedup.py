@@ -47,7 +47,7 @@ INDEXED, CHUNKS, DISTANCE = 32, 8, 15
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: A block of a large cluster: members and shingles, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 384, 400_000
+BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
 
 
 def _sets(column, lower, space, hasher):
@@ -291,14 +291,18 @@ def _edges(sets: DataFrame, texts: DataFrame) -> DataFrame:
     star = near.select(F.greatest("hub", "set_id").alias("u"), F.least("hub", "set_id").alias("v")).distinct()
     joined = stored(connected_components(star).withColumnRenamed("node", "set_id").withColumnRenamed("component", "label"), "labels")
 
-    # what isn't connected so far meets block by block; near blocks are 0 .. b-1, others b .. 2b-1, and near blocks don't meet
+    # what isn't connected so far meets block by block, in proportion to how many members are near and far; near blocks don't meet
     is_near = near.withColumn("near", F.lit(True)).unionByName(hubs.select("hub", F.col("hub").alias("set_id"), F.lit(True).alias("near")))
     dealt = large.join(is_near, ["hub", "set_id"], "left").withColumn("near", F.coalesce("near", F.lit(False))).join(joined, "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    at = F.pmod(F.xxhash64("set_id"), F.col("blocks"))
-    dealt = dealt.withColumn("block", F.when(F.col("near"), at).otherwise(F.col("blocks") + at))
-    first = F.when(F.col("near"), F.col("blocks")).otherwise(F.lit(0).cast("long"))
+    dealt = stored(dealt.select("hub", "set_id", "sig", "blocks", "near", "label"), "dealt")
+    share = F.avg(F.col("near").cast("double"))
+    open_ = dealt.groupBy("hub").agg(share.alias("share"), F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo <> hi").select("hub", "share")
+    dealt = dealt.join(stored(open_, "open-hubs"), "hub").withColumn("b_near", F.ceil(F.col("blocks") * F.col("share"))).withColumn("b_far", F.ceil(F.col("blocks") * (1 - F.col("share"))))
+    at = F.xxhash64("set_id")
+    dealt = dealt.withColumn("block", F.when(F.col("near"), F.pmod(at, F.col("b_near"))).otherwise(F.col("b_near") + F.pmod(at, F.greatest("b_far", F.lit(1)))))
+    first = F.when(F.col("near"), F.col("b_near")).otherwise(F.lit(0).cast("long"))
     pair = F.least("block", "other") * 2_000_000_000 + F.greatest("block", "other") + 1
-    paired = dealt.withColumn("other", F.explode(F.sequence(first, 2 * F.col("blocks") - 1))).select("hub", pair.alias("pair"), "set_id", "label", "near", "sig")
+    paired = dealt.withColumn("other", F.explode(F.sequence(first, F.col("b_near") + F.col("b_far") - 1))).select("hub", pair.alias("pair"), "set_id", "label", "near", "sig")
     whole = placed.where("blocks = 1").select("hub", F.lit(0).cast("long").alias("pair"), "set_id", F.col("set_id").alias("label"), F.lit(False).alias("near"), "sig")
     some = whole.unionByName(paired).repartition("hub", "pair").sortWithinPartitions("hub", "pair")
     tasks = stored(some.mapInArrow(_candidates, "hub binary, pair long, set_id binary, near boolean"), "candidates")
