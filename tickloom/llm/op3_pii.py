@@ -1,20 +1,23 @@
 """Personal data: exact patterns for four kinds, and a character-level BiLSTM with a CRF on top.
 
-The patterns find the base spans.  The tagger adds spans that look like personal data in a form
-the patterns don't have (a phone number without its +, say); it never changes a base span.
+The patterns find the base spans.  The tagger reads every character of every text and adds spans in
+forms that the patterns don't have: keys and tokens (kind ``secret``), phone numbers without their +,
+cards with dots, addresses written with (at) and (dot), IPv6; it never changes a base span.
 
-All kinds contain a digit or an @, so the tagger reads the text around each of these, REACH
-characters to either side, in windows of WINDOW characters that overlap by half.  Each character
-takes its tag from the window in which it is most central, and spans are formed from the tags of
-the whole text, so a span may cross windows.
+Texts are cut into windows of WINDOW characters that overlap by OVERLAP.  A character's emissions come
+from the window in which it is most central; the tags are then decoded once for the whole text, so a
+span may cross windows.  That decoding is exact: at a character where "outside" beats each other tag by
+more than any transitions can make up, it is the tag of every best path (else that path would gain by
+the exchange), so the stretches between such characters are decoded one by one.
 
-The tagger is trained here, with numpy: on spans made from formats (a fixed seed) and on at most
-TRAIN_DOCS documents and TRAIN_WINDOWS windows (of those with base spans, the document with the
-least hash of its id in each of TRAIN_DOCS buckets of that hash), whose base spans are the labels.
+The tagger is trained here, with numpy: on spans made from formats (a fixed seed) and on windows of at
+most TRAIN_DOCS documents, TRAIN_WINDOWS in all (of those with base spans, the document with the least
+hash of its id in each of TRAIN_DOCS buckets of that hash), whose base spans are the labels; windows
+with other long runs of digits are left out, as nobody has labelled those.
 
 Defined cases: a null or empty text has no spans; rows are judged one by one, so repeated rows
-and null ids give a row each; other columns are ignored; an empty table gives an empty result.
-Positions are code points, ends exclusive.
+and null ids give a row each; other columns are ignored; without base spans the tagger learns from made
+spans alone; an empty table gives an empty result.  Positions are code points, ends exclusive.
 """
 
 from __future__ import annotations
@@ -28,19 +31,22 @@ from pyspark.sql import functions as F
 
 from tickloom.llm.tables import table
 
+#: Kinds of the base patterns, and all kinds of the tagger.
 KINDS = ("email", "ip", "card", "phone")
-REACH, WINDOW = 24, 64
-TRAIN_DOCS, TRAIN_WINDOWS, MADE = 200, 2000, 600
-HIDDEN, STEPS, BATCH = 16, 260, 48
+TAGGED = (*KINDS, "secret")
+WINDOW, OVERLAP = 128, 32
+TRAIN_DOCS, TRAIN_WINDOWS, MADE, TRAIN_WINDOW = 200, 2000, 2400, 64
+HIDDEN, STEPS, BATCH = 16, 800, 64
 #: Least mean posterior of a span that the tagger adds.
-SURE = 0.95
+SURE = 0.9
+#: Transition weights stay within this, which bounds what they can make up for.
+MOST_TRANSITION = 0.5
 
 # fixed values: the patterns of the four kinds
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_TRIGGER = re.compile(r"[0-9@]")
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 
@@ -73,7 +79,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     out = [(a, b, "email") for a, b in _emails(text)]
     if _DIGIT.search(text):
         if text.count(".") >= 3:
-            out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+            out += [(m.start(), m.end(), "ip") for m in _IP.finditer(text) if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in m.group().split("."))]
         for m in _CARD.finditer(text):
             digits = m.group().replace(" ", "").replace("-", "")
             if 14 <= len(digits) <= 19 and luhn(digits):
@@ -87,38 +93,27 @@ def span_text(spans) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 
 
-#: Tags: 0 outside, 1 + 2k the first character of kind k, 2 + 2k a later one.
-TAGS = 1 + 2 * len(KINDS)
-CLASSES = 20
+#: Tags: 0 outside, 1 + k inside kind k.
+TAGS = 1 + len(TAGGED)
+#: Classes: 0-25 letters whatever their case, 26 digits, then these, other ASCII, the rest, and what is beyond a text.
+_MARKS = "@.-+() _%,:/\n#\"'=[]|"
+CLASSES = 27 + len(_MARKS) + 3
+PAD = CLASSES - 1
 
 
-def classes(text: str) -> np.ndarray:
-    """A class for each character: what matters is its kind, not the letter."""
-    table = np.full(129, 2, np.int64)
-    table[97:123], table[65:91], table[48:58] = 0, 1, 3
-    for i, c in enumerate("@.-+() _%,:/\n#"):
-        table[ord(c)] = 4 + i
-    table[128] = 18
-    return table[np.minimum(np.frombuffer(text.encode("utf-32-le"), np.uint32), 128)]
-
-
-PAD = 19
-
-
-def regions(text: str) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - REACH), min(len(text), m.start() + REACH + 1)
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], b)
-        else:
-            out.append((a, b))
-    return out
+def _class_table() -> np.ndarray:
+    table = np.full(129, CLASSES - 3, np.uint8)
+    table[97:123] = table[65:91] = np.arange(26)
+    table[48:58] = 26
+    for i, c in enumerate(_MARKS):
+        table[ord(c)] = 27 + i
+    table[128] = CLASSES - 2
+    return table
 
 
-def windows(a: int, b: int) -> list[int]:
-    """Starts of the windows over a region; the last may reach beyond it."""
-    return list(range(a, max(a + 1, b - WINDOW // 2), WINDOW // 2))
+def classes(text: str) -> np.ndarray:
+    """A class for each character."""
+    return _class_table()[np.minimum(np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32), 128)]
 
 
 def _sigmoid(x):
@@ -163,6 +158,29 @@ class Tagger:
             keep["hf"], keep["hb"] = hf, hb
         return hf @ self.p["of"] + hb @ self.p["ob"] + self.p["bias"]
 
+    def scan(self, x: np.ndarray) -> np.ndarray:
+        """The emissions again, in single precision and without what training needs; x: classes, steps first."""
+        t, n = x.shape
+        out = np.zeros((t, n, TAGS), np.float32)
+        half = np.repeat(np.array([0.5, 1], np.float32), [3 * HIDDEN, HIDDEN])  # a sigmoid is a tanh of half its argument
+        for d in "fb":
+            own = ((self.p[f"x{d}"] + self.p[f"c{d}"]) * half).astype(np.float32)
+            w, o = (self.p[f"h{d}"] * half).astype(np.float32), self.p[f"o{d}"].astype(np.float32)
+            h, c, z = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32)
+            for i in range(t) if d == "f" else range(t - 1, -1, -1):
+                np.matmul(h, w, out=z)
+                z += own.take(x[i], axis=0)
+                np.tanh(z, out=z)
+                gates = z[:, : 3 * HIDDEN]
+                gates *= 0.5
+                gates += 0.5
+                c *= z[:, HIDDEN : 2 * HIDDEN]
+                c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+                np.tanh(c, out=h)
+                h *= z[:, 2 * HIDDEN : 3 * HIDDEN]
+                out[i] += h @ o
+        return out + self.p["bias"].astype(np.float32)
+
     def _forward_backward(self, e):
         n, t, k = e.shape
         a, b = np.zeros_like(e), np.zeros_like(e)
@@ -179,12 +197,8 @@ class Tagger:
             b[:, i] = lse(tr + (e[:, i + 1] + b[:, i + 1])[:, None, :], 2)
         return a, b, lse(a[:, -1], 1)
 
-    def marginals(self, x):
-        a, b, z = self._forward_backward(self.emissions(x))
-        return np.exp(a + b - z[:, None, None])
-
-    def viterbi(self, x):
-        e = self.emissions(x)
+    def viterbi(self, e: np.ndarray) -> np.ndarray:
+        """The best tags of emissions (n, t, TAGS)."""
         n, t, _ = e.shape
         best, back = e[:, 0], np.zeros(e.shape, np.int64)
         for i in range(1, t):
@@ -195,9 +209,58 @@ class Tagger:
         path[:, -1] = best.argmax(axis=1)
         for i in range(t - 1, 0, -1):
             path[:, i - 1] = back[np.arange(n), i, path[:, i]]
-        a, b, z = self._forward_backward(e)
-        sure = np.exp(a + b - z[:, None, None])
-        return path, np.take_along_axis(sure, path[:, :, None], 2)[:, :, 0]
+        return path
+
+    def decode(self, e: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(tags, posteriors of these tags) of texts whose emissions follow one another; ends: where each text ends.
+
+        Only stretches between characters that are outside in any best path are looked at, in groups of
+        about equal length; what is before and after a stretch is such a character, or nothing.
+        """
+        tr = self.p["trans"]
+        makes_up = np.array([max(tr[a, k] + tr[k, b] - tr[a, 0] - tr[0, b] for a in range(TAGS) for b in range(TAGS)) for k in range(TAGS)])
+        # a text's first and last character have one transition only
+        makes_up = np.maximum(makes_up, np.maximum((tr[:, :] - tr[:, :1]).max(axis=0), (tr - tr[:1]).max(axis=1)))
+        open_ = (e[:, 1:] + makes_up[1:] >= e[:, :1]).any(axis=1)
+        tags, sure = np.zeros(len(e), np.int64), np.ones(len(e))
+        first, last = np.zeros(len(e), bool), np.zeros(len(e), bool)
+        last[ends[ends > 0] - 1] = True
+        first[0:1] = True
+        first[1:] = last[:-1]
+        starts = np.flatnonzero(open_ & (first | ~np.concatenate([[False], open_[:-1]])))
+        stops = np.flatnonzero(open_ & (last | ~np.concatenate([open_[1:], [False]]))) + 1
+        order = np.argsort(stops - starts, kind="stable")
+        a = 0
+        while a < len(order):
+            size = int((stops - starts)[order[a]])
+            b = a + 1
+            while b < len(order) and b - a < 4096 and (stops - starts)[order[b]] <= size + size // 8:
+                b += 1
+            run = order[a:b]
+            t = int((stops - starts)[run].max())
+            at = starts[run][:, None] + np.arange(t)
+            inside = at < stops[run][:, None]
+            own = e[np.minimum(at, len(e) - 1)].astype(np.float64)
+            own[:, 0] += np.where(first[starts[run]][:, None], 0, tr[0])
+            ends_at = (stops - starts)[run] - 1
+            own[np.arange(len(run)), ends_at] += np.where(last[stops[run] - 1][:, None], 0, tr[:, 0])
+            # beyond its end a stretch is outside, at no cost
+            own[~inside] = -1e9
+            own[~inside, 0] = 0
+            past = np.zeros((len(run), TAGS))
+            past[ends_at < t - 1] = -tr[:, 0]
+            own[np.arange(len(run)), ends_at] += past
+            beyond = np.where(inside.sum(axis=1) < t, t - 1 - ends_at, 1) - 1
+            own[np.arange(len(run)), t - 1, 0] += np.where(inside[:, -1], 0, -tr[0, 0] * beyond)
+            path = self.viterbi(own)
+            tags[at[inside]] = path[inside]
+            some = np.flatnonzero((path > 0).any(axis=1))
+            if len(some):
+                x, y, z = self._forward_backward(own[some])
+                p = np.take_along_axis(np.exp(x + y - z[:, None, None]), path[some][:, :, None], 2)[:, :, 0]
+                sure[at[some][inside[some]]] = p[inside[some]]
+            a = b
+        return tags, sure
 
     def gradient(self, x, y):
         keep: dict = {}
@@ -239,105 +302,164 @@ class Tagger:
             for k, v in self.gradient(x[at], y[at]).items():
                 v = np.clip(v, -5, 5)
                 m[k], s[k] = 0.9 * m[k] + 0.1 * v, 0.99 * s[k] + 0.01 * v * v
-                self.p[k] -= 0.02 * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)
+                self.p[k] -= 0.02 * min(1, 2 - 2 * i / (steps + 1)) * (m[k] / (1 - 0.9**i)) / (np.sqrt(s[k] / (1 - 0.99**i)) + 1e-8)
+            self.p["trans"] = np.clip(self.p["trans"], -MOST_TRANSITION, MOST_TRANSITION)
         return self
 
 
-def made_texts(n: int = MADE) -> list[tuple[str, list[tuple[int, int, str]]]]:
+def made_texts(n: int = MADE, seed: int = 21) -> list[tuple[str, list[tuple[int, int, str]]]]:
     """Texts with labelled spans in many formats, and texts with numbers that are none."""
-    rng = np.random.Generator(np.random.PCG64(21))
+    rng = np.random.Generator(np.random.PCG64(seed))
     pick = lambda *xs: xs[int(rng.integers(len(xs)))]
-    digits = lambda k: "".join(map(str, rng.integers(0, 10, k)))
-    word = lambda: "".join(chr(97 + c) for c in rng.integers(0, 26, int(rng.integers(2, 9))))
+    some = lambda letters, k: "".join(letters[c] for c in rng.integers(0, len(letters), k))
+    digits = lambda k: some("0123456789", k)
+    hexes = lambda k: some("0123456789abcdef", k)
+    mixed = lambda k: some("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789", k)
+    word = lambda: some(pick("etaoinshrdlu", "etaoinshrdlu", "abcdefghijklmnopqrstuvwxyz", "éèêñöüßaeiorst"), int(rng.integers(2, 11)))
 
     def card() -> str:
         body = pick("4", "5") + digits(14)
         last = next(str(d) for d in range(10) if luhn(body + str(d)))
         d = body + last
-        return pick(d, d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}", f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}")
+        return pick(d, d, f"{d[:4]} {d[4:8]} {d[8:12]} {d[12:]}", f"{d[:4]}-{d[4:8]}-{d[8:12]}-{d[12:]}", f"{d[:4]}.{d[4:8]}.{d[8:12]}.{d[12:]}", f"{d[:4]}/{d[4:8]}/{d[8:12]}/{d[12:]}")
+
+    def secret() -> str:
+        k = int(rng.integers(20, 64))
+        return pick(hexes(40), hexes(40), hexes(32), hexes(k), mixed(k), mixed(k), f"AKIA{some('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 16)}", f"ghp_{mixed(36)}", f"sk-{mixed(k)}", f"{hexes(8)}-{hexes(4)}-{hexes(4)}-{hexes(4)}-{hexes(12)}")
 
+    name = lambda: f"{word()}{pick('', '.' + digits(2), '_' + word(), '.' + word())}"
+    site = lambda: f"{word()}{pick('', digits(1))}.{pick('com', 'org', 'example.com', 'net', 'de')}"
     made = {
-        "email": lambda: f"{word()}{pick('', '.' + digits(2), '_' + word())}@{word()}{pick('', digits(1))}.{pick('com', 'org', 'example.com', 'net')}",
-        "ip": lambda: ".".join(str(v) for v in rng.integers(0, 256, 4)),
+        "email": lambda: pick(f"{name()}@{site()}", f"{name()}@{site()}", f"{name()} {pick('(at)', '[at]')} {site()}", f"{word()} (at) {word()} (dot) {pick('com', 'org', 'net')}", f"{name()} @ {site()}"),
+        "ip": lambda: pick(".".join(str(v) for v in rng.integers(0, 256, 4)), ".".join(str(v) for v in rng.integers(0, 256, 4)), ":".join(hexes(int(rng.integers(2, 5))) for _ in range(8)), f"{hexes(4)}:{hexes(3)}::{hexes(2)}:{hexes(4)}"),
         "card": card,
-        "phone": lambda: pick(f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}"),
+        "phone": lambda: pick(f"+1 ({digits(3)}) {digits(3)}-{digits(4)}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}-{digits(3)}-{digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}", f"0{digits(3)} {digits(3)} {digits(4)}"),
+        "secret": secret,
     }
-    none = (lambda: digits(int(rng.integers(1, 5))), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}", lambda: digits(int(rng.integers(20, 30))), lambda: f"{digits(2)}:{digits(2)}", lambda: f"{digits(8)}{word()[:3]}{digits(9)}", lambda: f"@{word()}")
+    before = {"secret": ("token = \"", "key: ", "password=", "api_key = '", "secret: \"", "token=", "TOKEN = \"", " ", " ")}
+    none = (
+        lambda: digits(int(rng.integers(1, 5))), lambda: f"{digits(1)}.{digits(1)}.{digits(1)}", lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"${digits(3)}.{digits(2)}",
+        lambda: digits(int(rng.integers(20, 30))), lambda: f"{digits(2)}:{digits(2)}:{digits(2)}", lambda: f"@{word()}", lambda: f"{word()}{digits(2)}", lambda: f"{digits(1)},{digits(3)},{digits(3)}",
+        lambda: f"{word()} at {word()} dot {word()}", lambda: "".join(word() for _ in range(4)), lambda: f"https://{site()}/{word()}/{digits(4)}", lambda: f"{word()} = \"{word()} {word()}\"", lambda: f"{word()}_{word()}_{word()}",
+    )
     out = []
     for i in range(n):
-        kind = KINDS[i % 4] if i % 3 else None
+        kind = TAGGED[i % len(TAGGED)] if i % 3 else None
         middle = made[kind]() if kind else pick(*none)()
-        left = " ".join(word() for _ in range(int(rng.integers(1, 6)))) + pick(" ", " ", "\n", ": ", " (")
-        out.append((left + middle + pick(" ", ". ", ", ", "\n", ")") + " ".join(word() for _ in range(int(rng.integers(1, 6)))), [(len(left), len(left) + len(middle), kind)] if kind else []))
+        lead = pick(*before.get(kind, (" ", " ", "\n", ": ", " (", "*** ", " | ")))
+        left = " ".join(word() for _ in range(int(rng.integers(1, 9)))) + lead
+        tail = {"\"": "\"", "'": "'", "(": ")"}.get(lead[-1], "") + pick(" ", ". ", ", ", "\n", "%%% ", "!! ", " | ")
+        text = left + middle + tail + " ".join(word() for _ in range(int(rng.integers(1, 9))))
+        shout = i % 11 == 0
+        out.append((text.upper() if shout and len(text.upper()) == len(text) else text, [(len(left), len(left) + len(middle), kind)] if kind else []))
     return out
 
 
+_LONG_RUN = re.compile(r"[0-9A-Za-z]*[0-9][0-9A-Za-z]*")
+
+
 def examples(texts) -> tuple[np.ndarray, np.ndarray]:
-    """Windows of classes and tags."""
+    """Windows of classes and tags: around each span and number, from a place that depends on where it is."""
     xs, ys = [], []
     for text, spans in texts:
         c, tags = classes(text), np.zeros(len(text), np.int64)
         for a, b, kind in spans:
-            tags[a:b] = 2 + 2 * KINDS.index(kind)
-            tags[a] -= 1
-        for a, b in regions(text):
-            for w in windows(a, b):
-                x, y = np.full(WINDOW, PAD), np.zeros(WINDOW, np.int64)
-                x[: len(c[w : w + WINDOW])] = c[w : w + WINDOW]
-                y[: len(tags[w : w + WINDOW])] = tags[w : w + WINDOW]
-                xs.append(x)
-                ys.append(y)
-    return np.array(xs).reshape(-1, WINDOW), np.array(ys).reshape(-1, WINDOW)
+            tags[a:b] = 1 + TAGGED.index(kind)
+        odd = [m.span() for m in _LONG_RUN.finditer(text) if m.end() - m.start() >= 10 and not tags[m.start() : m.end()].any()] if len(text) > 4 * TRAIN_WINDOW else []
+        places = range(0, max(1, len(text) - TRAIN_WINDOW // 2), TRAIN_WINDOW // 2) if len(text) <= 4 * TRAIN_WINDOW else [max(0, a - 8 - 7 * (a % 6)) for a, *_ in spans] + [len(text) // 2]
+        for w in places:
+            if any(a < w + TRAIN_WINDOW and b > w for a, b in odd):
+                continue
+            x, y = np.full(TRAIN_WINDOW, PAD), np.zeros(TRAIN_WINDOW, np.int64)
+            x[: len(c[w : w + TRAIN_WINDOW])] = c[w : w + TRAIN_WINDOW]
+            y[: len(tags[w : w + TRAIN_WINDOW])] = tags[w : w + TRAIN_WINDOW]
+            xs.append(x)
+            ys.append(y)
+    return np.array(xs, np.int64).reshape(-1, TRAIN_WINDOW), np.array(ys, np.int64).reshape(-1, TRAIN_WINDOW)
+
+
+_OBFUSCATED = re.compile(r"[(\[](?:at|AT)[)\]]")
 
 
 def _plausible(kind: str, s: str) -> bool:
+    """What the tagger can't see (it knows a digit, not which) or must not get wrong."""
     digits = "".join(_DIGIT.findall(s))
     n = len(digits)
-    # the tagger sees that a character is a digit, not which: the check digit is for this rule
-    return {"email": "@" in s and "." in s, "ip": s.count(".") == 3 and n >= 4, "card": 14 <= n <= 19 and luhn(digits), "phone": 9 <= n <= 15}[kind]
+    if kind == "email":
+        return "\n" not in s and 6 <= len(s) <= 320 and (s.count("@") == 1 or len(_OBFUSCATED.findall(s)) == 1) and ("." in s or "dot" in s.lower()) and s[0] not in "@.([" and s[-1] not in "@.("
+    if kind == "ip":
+        parts = s.split(".")
+        v4 = len(parts) == 4 and all(p.isascii() and p.isdigit() and len(p) <= 3 and int(p) <= 255 for p in parts)
+        return v4 or bool(re.fullmatch(r"[0-9a-fA-F:]{7,39}", s)) and s.count(":") >= 3 and n > 0
+    if kind == "card":
+        return 14 <= n <= 19 and luhn(digits) and n + sum(c in " .-/" for c in s) == len(s)
+    if kind == "phone":
+        return 9 <= n <= 15 and n + sum(c in " .-()/+" for c in s) == len(s) and n < len(s) and not _DATED.search(s)
+    letters = sum(c.isascii() and c.isalpha() for c in s)
+    return 16 <= len(s) <= 200 and n >= 3 and letters >= 3 and n + letters + sum(c in "-_+/=" for c in s) == len(s)
+
+
+_NUMERIC = ("ip", "card", "phone")
+_DATED = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{2}\.[0-9]{2}\.[0-9]{4}")
+
+
+def window_places(length: int) -> np.ndarray:
+    """Starts of the windows over a text."""
+    return np.arange(max(1, -(-(length - OVERLAP) // (WINDOW - OVERLAP)))) * (WINDOW - OVERLAP)
 
 
 def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int, str]]]:
     """Spans of each text by the tagger alone."""
-    at, xs = [], []
-    for i, text in enumerate(texts):
-        found = regions(text)
-        if found:
-            c = classes(text)
-            for a, b in found:
-                for w in windows(a, b):
-                    x = np.full(WINDOW, PAD)
-                    x[: len(c[w : w + WINDOW])] = c[w : w + WINDOW]
-                    xs.append(x)
-                    at.append((i, w))
+    lengths = np.array([len(t) for t in texts], np.int64)
+    ends = np.cumsum(lengths)
     out: list[list[tuple[int, int, str]]] = [[] for _ in texts]
-    tags: dict[int, dict[int, tuple[int, float, int]]] = {}
-    for k in range(0, len(xs), 512):
-        paths, sure = tagger.viterbi(np.array(xs[k : k + 512]))
-        for (i, w), path, p in zip(at[k : k + 512], paths, sure, strict=True):
-            own = tags.setdefault(i, {})
-            for j in range(min(WINDOW, len(texts[i]) - w)):
-                edge = min(j, WINDOW - 1 - j) if w else WINDOW - 1 - j
-                if w + j not in own or own[w + j][2] < edge:
-                    own[w + j] = (int(path[j]), float(p[j]), edge)
-    for i, own in tags.items():
-        start, kind, probs, last = -1, -1, [], -2
-        for pos in [*sorted(own), -1]:
-            tag, p, _ = own.get(pos, (0, 0.0, 0))
-            goes_on = start >= 0 and pos == last + 1 and tag == 2 + 2 * kind
-            if start >= 0 and not goes_on:
-                s = texts[i][start : last + 1]
-                if np.mean(probs) >= SURE and _plausible(KINDS[kind], s):
-                    out[i].append((start, last + 1, KINDS[kind]))
-                start = -1
-            if pos >= 0 and tag and not goes_on and start < 0 and tag % 2 == 1:
-                start, kind, probs = pos, (tag - 1) // 2, []
-            if start >= 0:
-                probs.append(p)
-            last = pos
+    if not len(ends) or not ends[-1]:
+        return out
+    flat = np.concatenate([classes("".join(texts)), np.full(WINDOW, PAD, np.uint8)])
+    places = [window_places(n) if n else np.zeros(0, np.int64) for n in lengths]
+    text_of = np.repeat(np.arange(len(texts)), [len(p) for p in places])
+    local = np.concatenate(places)
+    begin = local + (ends - lengths)[text_of]
+    e = np.empty((int(ends[-1]), TAGS), np.float32)
+    steps = np.arange(WINDOW)
+    for k in range(0, len(begin), 1024):
+        at = begin[k : k + 1024, None] + steps
+        inside = at < ends[text_of[k : k + 1024], None]
+        x = np.where(inside, flat[np.minimum(at, len(flat) - 1)], PAD)
+        got = tagger.scan(np.ascontiguousarray(x.T)).transpose(1, 0, 2)
+        # a character belongs to the window in which it is most central
+        own = inside & ((steps >= OVERLAP // 2) | (local[k : k + 1024, None] == 0)) & ((steps < WINDOW - OVERLAP // 2) | (at >= ends[text_of[k : k + 1024], None] - OVERLAP // 2) & _is_last(text_of, k)[:, None])
+        e[at[own]] = got[own]
+    tags, sure = tagger.decode(e, ends)
+    inside = np.flatnonzero(tags)
+    if len(inside):
+        owner = np.searchsorted(ends, inside, "right")
+        cut = np.flatnonzero((np.diff(inside) > 1) | (np.diff(tags[inside]) != 0) | (np.diff(owner) != 0)) + 1
+        for run in np.split(np.arange(len(inside)), cut):
+            a, b, i = int(inside[run[0]]), int(inside[run[-1]]) + 1, int(owner[run[0]])
+            kind, start = TAGGED[int(tags[a]) - 1], int(ends[i] - lengths[i])
+            text = texts[i]
+            # a number that the tags cut is taken whole
+            while kind in _NUMERIC and a > start and text[a - start - 1] in "0123456789+":
+                a -= 1
+            if kind == "phone" and a > start and text[a - start - 1] == "(" and ")" in text[a - start : b - start].split("(")[0]:
+                a -= 1
+            while kind in _NUMERIC and b < ends[i] and text[b - start] in "0123456789":
+                b += 1
+            own = text[a - start : b - start]
+            trimmed = own.strip(" ,;:\n\"'%*!|") if kind != "phone" else own.strip(" ,;:\n\"'%*!|.-")
+            a += own.index(trimmed)
+            if trimmed and sure[inside[run]].mean() >= SURE and _plausible(kind, trimmed):
+                out[i].append((a - start, a - start + len(trimmed), kind))
     return out
 
 
+def _is_last(text_of: np.ndarray, k: int) -> np.ndarray:
+    """Of windows k to k + 1023: whether it is its text's last."""
+    after = np.concatenate([text_of[1:], [-1]])
+    return (after != text_of)[k : k + 1024]
+
+
 def _least_by_bucket(batches):
     """(bucket, h, text): of the rows with base spans, the one with the least h of each of TRAIN_DOCS buckets."""
     best: dict[int, tuple[int, str]] = {}
@@ -353,7 +475,9 @@ def _least_by_bucket(batches):
 
 
 def train(docs: DataFrame, id_col: str, text_col: str) -> Tagger:
-    texts = docs.select(F.xxhash64(F.col(id_col).cast("long")).alias("h"), F.col(text_col).cast("string").alias("text")).where(F.col("text").rlike("[0-9@]"))
+    text = F.col(f"`{text_col}`").cast("string")
+    # rows without an id, or with the same one, are told apart by their texts
+    texts = docs.select(F.xxhash64(F.col(f"`{id_col}`").cast("long"), text).alias("h"), text.alias("text")).where(F.col("text").rlike("[0-9@]"))
     # a bucket a row: every task sends a row a bucket at most, and the buckets are dealt over the tasks that follow
     least = texts.mapInArrow(_least_by_bucket, "bucket long, h long, text string").groupBy("bucket").agg(F.min(F.struct("h", "text")).alias("x"))
     rows = least.orderBy("bucket").limit(TRAIN_DOCS).select("x.text").toLocalIterator()
@@ -363,6 +487,20 @@ def train(docs: DataFrame, id_col: str, text_col: str) -> Tagger:
     return Tagger().fit(np.concatenate([x, rx[:TRAIN_WINDOWS]]), np.concatenate([y, ry[:TRAIN_WINDOWS]]))
 
 
+def _portions(column, most: int = 1 << 20):
+    """Texts of a column, about so many characters at a time, one text at least."""
+    held, size = [], 0
+    for t in column:
+        text = t.as_py() or ""
+        if held and size + len(text) > most:
+            yield held
+            held, size = [], 0
+        held.append(text)
+        size += len(text)
+    if held:
+        yield held
+
+
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, base, spans) of each row, both array<struct<start, end, kind>>."""
     params = train(docs, id_col, text_col).p
@@ -374,13 +512,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         tagger.p = params
         for batch in batches:
             base, every = [], []
-            for k in range(0, batch.num_rows, 500):
-                texts = [t.as_py() or "" for t in batch.column(1).slice(k, 500)]
+            for texts in _portions(batch.column(1)):
                 for text, more in zip(texts, tagged_spans(texts, tagger), strict=True):
                     own = base_spans(text)
                     new = [s for s in more if all(s[1] <= a or s[0] >= b for a, b, _ in own)]
                     base.append(own)
-                    every.append(sorted(own + new, key=lambda s: (s[0], KINDS.index(s[2]))))
+                    every.append(sorted(own + new, key=lambda s: (s[0], TAGGED.index(s[2]))))
             rows = lambda spans: pa.array([[{"start": a, "end": b, "kind": n} for a, b, n in s] for s in spans], kind)
             yield pa.RecordBatch.from_arrays([batch.column(0), rows(base), rows(every)], [id_col, "base", "spans"])
 
@@ -395,7 +532,12 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     def count(k):
         return F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
 
-    return out.select("doc_id", *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"))
+    added = F.size("spans") - F.size("base")
+    secrets = F.size(F.filter("spans", lambda s: s["kind"] == "secret"))
+    return out.select(
+        "doc_id", *map(count, KINDS), F.sha2(joined("base"), 256).alias("base_sha256"), joined("spans").alias("spans"),
+        added.cast("long").alias("n_added"), secrets.cast("long").alias("n_secret"), F.size("spans").cast("long").alias("n_spans"),
+    )
 
 
 QUERIES = {"op3_pii": query}
