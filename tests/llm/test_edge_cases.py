@@ -4,12 +4,14 @@ import itertools
 import math
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-from tickloom.llm import op2_line_dedup, op4_url_filter, op6_minhash_dedup, op8_toxicity, op9_decontamination, tables
+from tickloom.llm import op2_line_dedup, op4_url_filter, op6_minhash_dedup, op7_quality_rules, op8_toxicity, op9_decontamination, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -238,3 +240,62 @@ def test_url_query_equals_brute_force(spark):
         host, path, rule, verdict = brute_url(p.url)
         r = got[p.page_id]
         assert (r.host, r.path, r.rule) == (host, path, rule) and (verdict is None or r.verdict == verdict), p.url
+
+
+def brute_base(text):
+    words = re.findall("[^\x20\x09-\x0d]+", text)
+    tri = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    covered = {j for i in range(len(words) - 2) if tri[tuple(words[i : i + 3])] > 1 for j in (i, i + 1, i + 2)}
+    return len(words) >= 50 and 100 * len(covered) <= 50 * len(words)
+
+
+def brute_kept(texts, good):
+    """Texts that pass the base rules and whose ratios, whole and by chunk, lie within the limits of the good ones."""
+    ratio = lambda raw: len(zstandard.ZstdCompressor(level=3, write_checksum=False).compress(raw)) / len(raw)
+    raw = {d: (t or "").encode() for d, t in texts.items()}
+    base = {d for d, t in texts.items() if brute_base(t or "")}
+    found = {}
+    for d in base & good:
+        if len(raw[d]) >= 256:
+            found.setdefault(math.floor(2 * math.log2(len(raw[d]))), []).append(ratio(raw[d]))
+    limits = {}
+    for k, v in found.items():
+        if len(v) >= 40:
+            a, m, b = np.quantile(v, [0.005, 0.5, 0.995])
+            limits[k] = (a - 0.5 * (m - a), b + 0.5 * (b - m))
+
+    def fits(piece):
+        bands = [b for b in op7_quality_rules.WHOLE_BANDS if b[0] <= len(piece)]
+        low, high = limits.get(math.floor(2 * math.log2(len(piece))), (0, 1))
+        return not bands or max(low, bands[-1][1]) <= ratio(piece) <= min(high, bands[-1][2])
+
+    kept = set()
+    for d in base:
+        parts = [raw[d][i : i + 4096] for i in range(0, len(raw[d]), 4096)] if len(raw[d]) > 4096 else []
+        bad = sum(len(p) for p in parts if len(p) >= 1024 and not fits(p))
+        if fits(raw[d]) and bad <= 0.5 * len(raw[d]):
+            kept.add(d)
+    return base, kept
+
+
+def test_quality_verdicts_equal_brute_force(spark):
+    """The compression limits decide: texts labelled bad that pass the base rules go, those labelled good stay."""
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    base, kept = brute_kept(texts, {d for d, q in labels.items() if q == 1})
+    got = {r.doc_id: (r.base_failed, r.kept) for r in op7_quality_rules.query(spark, sf).collect()}
+    assert got == {d: (d not in base, d in kept) for d in texts}
+    gone = base - kept
+    assert len([d for d in gone if labels.get(d) == 0]) >= 5 and len([d for d in gone if labels.get(d) == 1]) <= 0.01 * len(base)
+
+
+def test_quality_of_texts_with_one_bad_half(spark):
+    rng = random.Random(2)
+    prose = " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(1700))[:8192]
+    texts = [prose, prose + " " + "x" * 8192, prose[:4096] + " " + "x" * 3000, prose + prose[:2000]]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("kept", F.lit(1)).withColumn("i", F.lit(1))
+    assert [r.kept for r in op7_quality_rules.quality_rules(docs).orderBy("doc_id").collect()] == [True, False, False, True]
+    assert sorted(r.doc_id for r in op7_quality_rules.keep_good(docs).collect()) == [0, 3]
+    no_labels = spark.createDataFrame([], "doc_id long, quality int")
+    assert op7_quality_rules.fit_limits(docs, no_labels) == {}
