@@ -23,8 +23,8 @@ COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep.  The rules' verdict travels with the text: no join."""
-    return op7_quality_rules.keep_good(docs)
+    """Documents that the quality rules keep, with limits fitted on the labelled ones.  The rules' verdict travels with the text: no join."""
+    return op7_quality_rules.keep_good(docs, limits=op7_quality_rules.fit_limits(docs, table(spark, sf_dir, "labels")))
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
