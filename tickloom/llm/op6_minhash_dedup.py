@@ -47,7 +47,7 @@ INDEXED, CHUNKS, DISTANCE = 32, 8, 15
 #: Links have 100 * intersection >= PERCENT * union.
 PERCENT = 85
 #: A block of a large cluster: members and shingles, about.
-BLOCK_DOCS, BLOCK_SHINGLES = 256, 400_000
+BLOCK_DOCS, BLOCK_SHINGLES = 128, 400_000
 
 
 def _sets(column, lower, space, hasher):
