@@ -11,7 +11,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from tickloom.llm import op2_line_dedup, op4_url_filter, op6_minhash_dedup, op7_quality_rules, op8_toxicity, op9_decontamination, tables
+from tickloom.llm import op1_license_scan, op2_line_dedup, op4_url_filter, op6_minhash_dedup, op7_quality_rules, op8_toxicity, op9_decontamination, tables
 
 SF = "/root/testdata/sf0.001"
 
@@ -299,3 +299,44 @@ def test_quality_of_texts_with_one_bad_half(spark):
     assert sorted(r.doc_id for r in op7_quality_rules.keep_good(docs).collect()) == [0, 3]
     no_labels = spark.createDataFrame([], "doc_id long, quality int")
     assert op7_quality_rules.fit_limits(docs, no_labels) == {}
+
+
+def brute_licenses(text):
+    """Every window of every template's group, without bands."""
+    words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))
+    grams = lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)]
+    sets = {k: set(grams(words(t))) for k, t in op1_license_scan.TEMPLATES.items()}
+    order, longest = sorted(sets, key=lambda k: -len(sets[k])), {}
+    top = 0
+    for k in order:
+        top = longest[k] = top if top and len(sets[k]) * op1_license_scan.SPREAD >= top else len(sets[k])
+    own, found = grams(words(text)), {}
+    for k, s in sets.items():
+        step = max(1, longest[k] // 2)
+        n = sum(len(s & set(own[at : at + 3 * longest[k]])) >= 0.8 * len(s) for at in range(0, len(own), step))
+        if n:
+            found[k] = n
+    return found
+
+
+def test_licenses_equal_brute_force(spark):
+    """Whole texts, and templates with words lost, exchanged and inserted at any place."""
+    rng = random.Random(6)
+    texts = [r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()] + [None, ""]
+    for t in op1_license_scan.TEMPLATES.values():
+        for _ in range(4):
+            w = t.split()
+            for _ in range(rng.randint(0, max(1, len(w) // 20))):
+                w[rng.randrange(len(w))] = rng.choice(["", "other"])
+            at = rng.randrange(len(w))
+            w[at:at] = [f"in{i}" for i in range(rng.randint(0, len(w)))]
+            texts.append(" ".join([f"a{i}" for i in range(rng.randint(0, 300))] + w + [f"z{i}" for i in range(rng.randint(0, 200))]))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").withColumn("name", F.lit(1)).withColumn("licenses", F.lit(1))
+    got = {r.doc_id: {x.name: x.windows for x in r.licenses} for r in op1_license_scan.license_scan(docs).collect()}
+    assert got == {i: brute_licenses(t) for i, t in enumerate(texts)}
+    assert sum(map(bool, got.values())) > 40
+
+
+def test_license_templates_without_a_shingle_are_an_error(spark):
+    with pytest.raises(ValueError, match="short"):
+        op1_license_scan.license_scan(spark.createDataFrame([(1, "x")], "doc_id long, text string"), {"short": "only four words here"})

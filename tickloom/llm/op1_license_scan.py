@@ -1,16 +1,17 @@
 """License scan: MinHash bands over overlapping windows retrieve license templates, exact containment confirms.
 
 A text is a sequence of 5-word shingles.  Templates are grouped by length; a group whose longest
-template has n shingles is looked for in windows of 2 n shingles that start every n, so a whole
-occurrence lies in one window.  Each MinHash value is a band of one row, BANDS bands: with at
-least CONTAINMENT of a template in a window their similarity is at least 0.26, and all bands
-miss with probability (1 - 0.26) ** 48 < 1e-6.  A retrieved template is confirmed if the window
-has CONTAINMENT of its shingles exactly.  Windows without a shingle of any template can't match
-a band and are passed over.
+template has n shingles is looked for in windows of 3 n shingles that start every n / 2, so an
+occurrence lies in one window even with insertions of up to 1.5 n shingles in all.  Each MinHash
+value is a band of one row, BANDS bands: with at least CONTAINMENT of a template in a window their
+similarity is at least 0.17 (0.8 / 1.5 over 3 + 0.2 / 1.5), and all bands miss with probability
+(1 - 0.17) ** 80 < 1e-6.  A retrieved template is confirmed if the window has CONTAINMENT of its
+shingles exactly.  Windows without a shingle of any template can't match a band and are passed over.
 
 Defined cases: null and empty texts have no match; a template is reported once a text however
-often it occurs, with its number of matching windows; rows are judged one by one; other columns
-are ignored; an empty table gives an empty result.
+often it occurs, with its number of matching windows; rows are judged one by one, so repeated rows
+and null ids give a row each; a template of fewer words than a shingle has is an error; other
+columns are ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from tickloom.llm.tables import table
 from tickloom.llm.textarrays import SpanHasher, Words, lower_table, separator_table, shingle_hashes, slices, text_buffer
 
-SHINGLE, BANDS, CONTAINMENT = 5, 48, 0.8
+SHINGLE, BANDS, CONTAINMENT = 5, 80, 0.8
 #: Templates of one group differ in length by this factor at most.
 SPREAD = 1.5
 
@@ -39,6 +40,16 @@ TEMPLATES = {
     "GPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.",
     "BSD-2-Clause": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
+    "LGPL-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version.",
+    "AGPL-3.0": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.",
+    "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+    "BSD-3-Clause-third": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
+    "BSD-disclaimer": "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED.",
+    "MIT-disclaimer": "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software",
+    "CC0-notice": "To the extent possible under law, the person who associated CC0 with this work has waived all copyright and related or neighboring rights to this work.",
+    "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
 }
 
@@ -52,6 +63,8 @@ class Scanner:
         self.names = list(templates)
         text = pa.array(list(templates.values()), pa.string())
         self.sets = [np.unique(h) for h in self.rows(text)]
+        if short := [n for n, own in zip(self.names, self.sets, strict=True) if not len(own)]:
+            raise ValueError(f"templates of fewer than {SHINGLE} words: {', '.join(short)}")
         self.known = np.unique(np.concatenate(self.sets)) if self.sets else np.zeros(0, np.uint64)
         self.low = np.array([self.minhash(s) for s in self.sets])
         self.groups: list[tuple[int, list[int]]] = []
@@ -85,9 +98,11 @@ class Scanner:
         if not len(hits):
             return found
         for n, members in self.groups:
-            starts = {int(p) // n * n for p in hits}
-            for s in sorted(starts | {max(0, s - n) for s in starts}):
-                window = np.unique(h[s : s + 2 * n])
+            step = max(1, n // 2)
+            # the windows that start every step and have one of the hits
+            first, last = np.maximum(0, -((3 * n - 1 - hits) // step)), hits // step
+            for s in np.unique(np.concatenate([np.arange(i, j + 1) for i, j in zip(first, last, strict=True)])) * step:
+                window = np.unique(h[s : s + 3 * n])
                 low = self.minhash(window)
                 for i in members:
                     if (self.low[i] == low).any() and len(np.intersect1d(window, self.sets[i], assume_unique=True)) >= CONTAINMENT * len(self.sets[i]):
@@ -98,6 +113,7 @@ class Scanner:
 def license_scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, licenses array<struct<name, windows>>) of each row, by name.  No shuffle."""
     templates = TEMPLATES if templates is None else templates
+    Scanner(templates)  # a template that can't be looked for is an error here, not in a task
     kind = pa.list_(pa.struct([("name", pa.string()), ("windows", pa.int32())]))
 
     def run(batches):

@@ -18,13 +18,13 @@ MODULES = (
 )
 
 
-def _modules():
-    return [importlib.import_module(f"tickloom.llm.{m}") for m in MODULES]
+# imported here, so that a library that is missing shows when this module is imported
+_MODULES = [importlib.import_module(f"tickloom.llm.{m}") for m in MODULES]
 
 
 def queries() -> dict:
-    return {name: f for m in _modules() for name, f in m.QUERIES.items()}
+    return {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.ORACLE_SQL.items()}
+    return {name: sql for m in _MODULES for name, sql in m.ORACLE_SQL.items()}
