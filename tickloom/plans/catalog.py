@@ -186,25 +186,6 @@ def _lines(s: DataFrame, plan: DataFrame) -> DataFrame:
     return plan.join(tracks(s).select(*TRACK, "timescale"), list(TRACK)).select(*TRACK, "segment_index", F.concat(F.lit("#EXTINF:"), seconds_text(ms), F.lit(",")).alias("extinf"), F.concat(F.col("segment_index").cast("string"), F.lit(".m4s")).alias("uri"))
 
 
-@_query(_with(PLAN_SQL, f""", ln AS ({LINES_SQL}), td AS (SELECT asset_id, track_id, greatest(max((duration + timescale - 1) // timescale), 1)::BIGINT AS d FROM plan JOIN tr USING (asset_id, track_id) GROUP BY ALL)
-SELECT ln.asset_id, ln.track_id, concat('#EXTM3U', chr(10), '#EXT-X-VERSION:7', chr(10), '#EXT-X-TARGETDURATION:', any_value(d), chr(10), string_agg(concat(extinf, chr(10), uri), chr(10) ORDER BY segment_index), chr(10), '#EXT-X-ENDLIST') AS body
-FROM ln JOIN td USING (asset_id, track_id) GROUP BY ln.asset_id, ln.track_id"""))
-def media_playlist(spark, sf_dir: str) -> DataFrame:
-    """The media playlist of each track."""
-    s = samples(spark, sf_dir, reuse=True)
-    plan = segment_plan(s)
-    per = _lines(s, plan).groupBy(*TRACK).agg(F.array_sort(F.collect_list(F.struct("segment_index", F.concat_ws("\n", "extinf", "uri").alias("x")))).alias("l"))
-    joined = per.join(target_durations(plan, tracks(s)), list(TRACK))
-    head = F.concat(F.lit("#EXTM3U\n#EXT-X-VERSION:7\n#EXT-X-TARGETDURATION:"), F.col("target_duration").cast("string"))
-    return joined.select(*TRACK, F.concat_ws("\n", head, F.array_join(F.transform("l", lambda x: x["x"]), "\n"), F.lit("#EXT-X-ENDLIST")).alias("body"))
-
-
-@_query(_with(PLAN_SQL, f", v AS ({VARIANT_SQL}) SELECT asset_id, concat('#EXTM3U', chr(10), '#EXT-X-STREAM-INF:BANDWIDTH=', peak_rate, ',AVERAGE-BANDWIDTH=', average_rate, chr(10), 'video.m3u8') AS body FROM v"))
-def master_playlist(spark, sf_dir: str) -> DataFrame:
-    v = variant_rate(spark, sf_dir)
-    return v.select("asset_id", F.concat(F.lit("#EXTM3U\n#EXT-X-STREAM-INF:BANDWIDTH="), F.col("peak_rate").cast("string"), F.lit(",AVERAGE-BANDWIDTH="), F.col("average_rate").cast("string"), F.lit("\nvideo.m3u8")).alias("body"))
-
-
 KEY_SQL = f"SELECT s.asset_id, s.track_id, s.timescale, row_number() OVER w - 1 AS nth, sample_index, decode_time, coalesce(lead(decode_time) OVER w, end_time) - decode_time AS \"interval\", size FROM s JOIN tr USING (asset_id, track_id) WHERE is_sync WINDOW w AS (PARTITION BY s.asset_id, s.track_id ORDER BY sample_index)"
 
 
@@ -348,9 +329,9 @@ def asset_rollup(spark, sf_dir: str) -> DataFrame:
 
 def _parts() -> list:
     # they use this module's SQL, so they are imported when it is complete
-    from tickloom.plans import clips, formats, origin, requests
+    from tickloom.plans import clips, formats, origin, playlists, requests
 
-    return [clips, requests, formats, origin]
+    return [clips, requests, formats, origin, playlists]
 
 
 def queries() -> dict:
