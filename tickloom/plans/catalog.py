@@ -329,9 +329,9 @@ def asset_rollup(spark, sf_dir: str) -> DataFrame:
 
 def _parts() -> list:
     # they use this module's SQL, so they are imported when it is complete
-    from tickloom.plans import clips, formats, origin, playlists, requests
+    from tickloom.plans import clips, formats, manifests, origin, playlists, requests
 
-    return [clips, requests, formats, origin, playlists]
+    return [clips, requests, formats, origin, playlists, manifests]
 
 
 def queries() -> dict:
