@@ -108,7 +108,7 @@ def test_pii_base_spans():
 
 @pytest.fixture(scope="module")
 def tagger():
-    return op3_pii.Tagger().fit(*op3_pii.examples(op3_pii.made_texts()), steps=500)
+    return op3_pii.Tagger().fit(*op3_pii.examples(op3_pii.made_texts()))
 
 
 def test_pii_added_spans_of_held_out_texts(tagger):
