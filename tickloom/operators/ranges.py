@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import ordered_scan
+
 # fixed values: limits of one read plan
 MAX_GAP, GAP_BUDGET, CHUNK = 65_536, 262_144, 1_048_576
 
@@ -21,22 +23,19 @@ def gap_budget_reads(pieces: DataFrame, key: list[str], order: str, max_gap: int
     """(key, read, start, end, pieces): a piece joins the read before it if it lies after it, the gap is at most max_gap, all gaps so
     far and this one keep within budget, and the read within chunk; a piece longer than chunk is read alone.
 
-    What joins depends on what joined before, so each key is one fold over its pieces.
+    What joins depends on what joined before, so each key's pieces are scanned in order; the state is the open read.
     """
-    sorted_pieces = pieces.groupBy(*key).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), F.col("offset").alias("a"), (F.col("offset") + F.col("length")).alias("b")))).alias("p"))
-    read = "struct<start:bigint,end:bigint,pieces:bigint,open:boolean>"
-    zero = F.struct(F.array().cast(f"array<{read}>").alias("done"), F.lit(None).cast(read).alias("cur"), F.lit(0).cast("bigint").alias("spent"))
-
-    def step(acc, x):
-        gap = x["a"] - acc["cur"]["end"]
-        fits = acc["cur"]["open"] & (gap >= 0) & (gap <= max_gap) & (acc["spent"] + gap <= budget) & (x["b"] - acc["cur"]["start"] <= chunk)
-        joined = F.struct(acc["cur"]["start"].alias("start"), x["b"].alias("end"), (acc["cur"]["pieces"] + 1).alias("pieces"), F.lit(True).alias("open")).cast(read)
-        new = F.struct(x["a"].alias("start"), x["b"].alias("end"), F.lit(1).cast("bigint").alias("pieces"), (x["b"] - x["a"] <= chunk).alias("open")).cast(read)
-        done = F.when(acc["cur"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["cur"])))
-        return F.when(F.coalesce(fits, F.lit(False)), F.struct(acc["done"].alias("done"), joined.alias("cur"), (acc["spent"] + gap).alias("spent"))).otherwise(
-            F.struct(done.alias("done"), new.alias("cur"), acc["spent"].alias("spent"))
-        )
-
-    folded = sorted_pieces.select(*key, F.aggregate("p", zero, step, lambda acc: F.concat(acc["done"], F.array(acc["cur"]))).alias("reads"))
-    each = folded.select(*key, F.posexplode("reads").alias("read", "r"))
-    return each.select(*key, F.col("read").cast("bigint"), "r.start", "r.end", "r.pieces")
+
+    def step(state, row):
+        if row is None:
+            return None, [state[:4]] if state else []
+        a, n = row
+        b = a + n
+        if state is None:
+            return (0, a, b, 1, n <= chunk, 0), []
+        read, start, end, count, open_, spent = state
+        if open_ and 0 <= a - end <= max_gap and spent + a - end <= budget and b - start <= chunk:
+            return (read, start, b, count + 1, True, spent + a - end), []
+        return (read + 1, a, b, 1, n <= chunk, spent), [state[:4]]
+
+    return ordered_scan(pieces, key, order, ["offset", "length"], step, [(n, "bigint") for n in ("read", "start", "end", "pieces")])

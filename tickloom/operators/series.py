@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import ordered_scan
+
 TRACK = ("asset_id", "track_id")
 
 
@@ -56,16 +58,17 @@ def keyframes(samples: DataFrame) -> DataFrame:
 def greedy_boundaries(samples: DataFrame, target_ms: int) -> DataFrame:
     """(asset_id, track_id, segment_index, first_sample, decode_time): cuts at the first sync sample at least target after the last cut.
 
-    The next cut depends on the last, so each track is one fold over its sync samples' times.
+    The next cut depends on the last, so the sync samples of a track are scanned in order; the state is one due time.
     """
-    target = (F.lit(target_ms).cast("bigint") * F.col("timescale") / 1000).cast("bigint")
-    sync = samples.where(F.col("is_sync") | (F.col("sample_index") == 0)).groupBy(*TRACK, "timescale").agg(F.sort_array(F.collect_list(F.struct("sample_index", "decode_time"))).alias("syncs"))
-    start = F.struct(F.slice("syncs", 1, 1).alias("cuts"), (F.col("syncs")[0]["decode_time"] + F.col("_target")).alias("due"))
-
-    def step(acc, s):
-        cut = s["decode_time"] >= acc["due"]
-        return F.when(cut, F.struct(F.concat(acc["cuts"], F.array(s)).alias("cuts"), (s["decode_time"] + F.col("_target")).alias("due"))).otherwise(acc)
 
-    cuts = sync.withColumn("_target", target).select(*TRACK, F.aggregate(F.slice(F.col("syncs"), F.lit(2), F.size("syncs")), start, step)["cuts"].alias("cuts"))
-    each = cuts.select(*TRACK, F.posexplode("cuts").alias("segment_index", "c"))
-    return each.select(*TRACK, F.col("segment_index").cast("bigint"), F.col("c.sample_index").alias("first_sample"), F.col("c.decode_time"))
+    def step(state, row):
+        if row is None:
+            return None, []
+        timescale, index, time = row
+        if state is not None and time < state[0]:
+            return state, []
+        number = state[1] if state else 0
+        return (time + target_ms * timescale // 1000, number + 1), [(number, index, time)]
+
+    sync = samples.where(F.col("is_sync") | (F.col("sample_index") == 0))
+    return ordered_scan(sync, list(TRACK), "sample_index", ["timescale", "sample_index", "decode_time"], step, [("segment_index", "bigint"), ("first_sample", "bigint"), ("decode_time", "bigint")])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tickloom.functions.exact import ceil_div, floor_div, rescale, seconds_text
 from tickloom.functions.text import cue_time, url_identity, xml_escape
+from tickloom.operators.ordered import exact_quantiles, running_before
 from tickloom.operators.ranges import CHUNK, GAP_BUDGET, MAX_GAP, adjacent_ranges, gap_budget_reads
 from tickloom.operators.series import TRACK, at_or_after, compress_runs, expand_runs, greedy_boundaries, keyframes
 from tickloom.plans.segments import TARGET_MS, rates, reference_track, segment_bytes, segment_plan, target_durations, variant_rates
@@ -162,8 +163,9 @@ def variant_rate(spark, sf_dir: str) -> DataFrame:
 @_query(_with(PLAN_SQL, f"SELECT row_number() OVER (ORDER BY peak_rate, asset_id)::BIGINT AS position, * FROM ({VARIANT_SQL})"))
 def bandwidth_ladder(spark, sf_dir: str) -> DataFrame:
     """Assets as renditions of one ladder, by ascending peak, stable."""
-    ordered = variant_rate(spark, sf_dir)
-    return ordered.select(F.row_number().over(Window.orderBy("peak_rate", "asset_id")).cast("bigint").alias("position"), "asset_id", "average_rate", "peak_rate")
+    rated = variant_rate(spark, sf_dir).withColumn("one", F.lit(1).cast("bigint"))
+    placed = running_before(rated, ["peak_rate", "asset_id"], "one", "before")
+    return placed.select((F.col("before") + 1).cast("bigint").alias("position"), "asset_id", "average_rate", "peak_rate")
 
 
 @_query(_with(PLAN_SQL, "SELECT asset_id, track_id, greatest(max((duration + timescale - 1) // timescale), 1)::BIGINT AS target_duration FROM plan JOIN tr USING (asset_id, track_id) GROUP BY ALL"))
@@ -218,7 +220,7 @@ def global_segment_numbers(spark, sf_dir: str) -> DataFrame:
     ref = reference_track(tracks(s))
     chosen = s.join(ref, "asset_id").where("track_id = reference").drop("reference")
     n = greedy_boundaries(chosen, TARGET_MS).groupBy("asset_id").agg(F.count(F.lit(1)).alias("segments"))
-    return n.select("asset_id", "segments", F.coalesce(F.sum("segments").over(Window.orderBy("asset_id").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("first_segment"))
+    return running_before(n, ["asset_id"], "segments", "first_segment").select("asset_id", "segments", F.col("first_segment").cast("bigint"))
 
 
 @_query(_with(SAMPLES_SQL, f""", a AS (SELECT *, CASE WHEN lag("offset" + size) OVER w = "offset" THEN 0 ELSE 1 END AS new FROM s WINDOW w AS ({PART})), b AS (SELECT *, sum(new) OVER ({PART}) AS run FROM a)
@@ -317,8 +319,8 @@ def latency_histogram(spark, sf_dir: str) -> DataFrame:
 
 @_query("SELECT event_type AS route, quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.95) AS p95, quantile_disc(value, 0.99) AS p99 FROM events GROUP BY event_type")
 def latency_percentiles(spark, sf_dir: str) -> DataFrame:
-    p = [F.expr(f"percentile_disc({q}) within group (order by value)").alias(n) for q, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))]
-    return table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("route")).agg(*p)
+    e = table(spark, sf_dir, "events").select(F.col("event_type").alias("route"), "value")
+    return exact_quantiles(e, ["route"], "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99})
 
 
 @_query(_with(PLAN_SQL, "SELECT asset_id, count(DISTINCT track_id) AS tracks, count(DISTINCT segment_index) AS segments, sum(bytes)::BIGINT AS bytes FROM sized GROUP BY asset_id"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.functions.exact import floor_div, rescale, seconds_text
+from tickloom.operators.ordered import running_before
 from tickloom.operators.series import TRACK, compress_runs, greedy_boundaries, keyframes
 from tickloom.plans.catalog import BOUNDS_SQL, KEY_SQL, PART, PLAN_SQL, VARIANT_SQL, _with, global_segment_numbers, variant_rate
 from tickloom.plans.segments import TARGET_MS, reference_track
@@ -107,8 +108,7 @@ def clip_lead(spark, sf_dir: str) -> DataFrame:
 def clip_starts(spark, sf_dir: str) -> DataFrame:
     """Assets as clips of one sequence: each length is rounded down once, a start is the sum of the lengths before."""
     lengths = tracks(samples(spark, sf_dir)).where("track_id = 1").select("asset_id", rescale("end_time", "timescale", 1_000_000_000).alias("length_ns"))
-    before = Window.orderBy("asset_id").rowsBetween(Window.unboundedPreceding, -1)
-    return lengths.select("asset_id", "length_ns", F.coalesce(F.sum("length_ns").over(before), F.lit(0).cast("bigint")).alias("start_ns"))
+    return running_before(lengths, ["asset_id"], "length_ns", "start_ns").select("asset_id", "length_ns", F.col("start_ns").cast("bigint"))
 
 
 @_query(_with(PLAN_SQL, """, n AS (SELECT asset_id, count(*) AS segments FROM own GROUP BY asset_id),
