@@ -331,9 +331,9 @@ def asset_rollup(spark, sf_dir: str) -> DataFrame:
 
 def _parts() -> list:
     # they use this module's SQL, so they are imported when it is complete
-    from tickloom.plans import clips, formats, manifests, origin, playlists, requests, rules, trims
+    from tickloom.plans import clips, formats, manifests, origin, playlists, requests, rules, status, trims
 
-    return [clips, requests, formats, origin, playlists, manifests, trims, rules]
+    return [clips, requests, formats, origin, playlists, manifests, trims, rules, status]
 
 
 def queries() -> dict:
