@@ -91,7 +91,8 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     lines = line_keys(docs, id_col, text_col, site_col, min_sites, long_sites)
     found = stored(boilerplate(lines), "boilerplate")
     drop = lines.join(found, ["_k1", "_k2"]).where(~_place().eqNullSafe(F.col("_first")))
-    # stored, so that the join below is of two plain tables and rows that repeat very often can be split
+    # stored, so that the join below is of two plain tables and rows that repeat very often can be split; merged at any size, as
+    # the lists grow with the corpus
     drop = stored(drop.groupBy("_row").agg(F.array_sort(F.collect_set("_pos")).alias("_drop")), "dropped-lines")
     # the input's columns travel in one struct, so that none of their names can meet one of those used here
     own = [c for c in docs.columns if c not in ("_n_lines", "_n_removed")]
@@ -100,7 +101,7 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # what stays are the runs between two dropped positions: one pass, however many are dropped
     cuts = F.concat(F.array(F.lit(-1)), F.col("_drop"), F.array(F.size("_split")))
     runs = F.transform(F.sequence(F.lit(0), F.size("_drop")), lambda j: F.slice(F.col("_split"), F.get(F.col("_cuts"), j) + 2, F.get(F.col("_cuts"), j + 1) - F.get(F.col("_cuts"), j) - 1))
-    work = rows.join(drop, "_row", "left").withColumn("_split", _lines(text.cast("string"))).withColumn("_cuts", cuts)
+    work = rows.join(drop.hint("merge"), "_row", "left").withColumn("_split", _lines(text.cast("string"))).withColumn("_cuts", cuts)
     left = F.when(F.col("_drop").isNull(), text).otherwise(F.array_join(F.flatten(runs), "\n"))
     n = F.when(F.coalesce(text, F.lit("")) == "", F.lit(0)).otherwise(F.size("_split"))
     return work.select(
