@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # fixed values: IPv4 networks that aren't public, as first address and prefix length
@@ -41,6 +41,35 @@ def public_v4(address: Column) -> Column:
     return ~closed
 
 
+def public_addresses(df: DataFrame, address: str, name: str) -> DataFrame:
+    """df with whether an address of either kind may be fetched from (null for what is none); one that is mapped from the other kind goes by that kind's rules.
+
+    Each step is a column of its own: the next one names it many times.
+    """
+    a = F.col(address)
+    step = df.withColumn("_dotted", F.regexp_extract(a, r":([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$", 1)).withColumn("_n", v4_number(F.col("_dotted")))
+    n, dotted = F.col("_n"), F.col("_dotted")
+    tail = F.concat(F.hex(F.shiftright(n, 16)), F.lit(":"), F.hex(n.bitwiseAND(F.lit(65_535))))
+    text = F.lower(F.when(dotted != "", F.concat(F.left(a, F.length(a) - F.length(dotted)), tail)).otherwise(a))
+    step = step.withColumn("_text", text).withColumn("_sides", F.split("_text", "::", -1))
+    side = lambda i: F.when(F.get("_sides", F.lit(i)) == "", F.array().cast("array<string>")).otherwise(F.split(F.get("_sides", F.lit(i)), ":"))
+    step = step.withColumn("_l", side(0)).withColumn("_r", side(1)).withColumn("_missing", 8 - F.size("_l") - F.size("_r"))
+    filled = F.concat("_l", F.array_repeat(F.lit("0"), F.greatest("_missing", F.lit(0))), "_r")
+    groups = F.when(F.size("_sides") == 1, F.split("_text", ":")).when((F.size("_sides") == 2) & (F.col("_missing") >= 1), filled)
+    step = step.withColumn("_w", groups)
+    ok = (F.size("_w") == 8) & F.forall("_w", lambda g: g.rlike("^[0-9a-f]{1,4}$"))
+    step = step.withColumn("_g", F.when(ok, F.transform("_w", lambda g: F.conv(g, 16, 10).cast("bigint"))))
+    g = [F.get("_g", F.lit(i)) for i in range(8)]
+    zeros = lambda k: F.forall(F.slice("_g", 1, k), lambda x: x == 0)
+    mapped = zeros(5) & (g[5] == 0xFFFF)
+    octets = F.concat_ws(".", *[F.shiftright(g[6] * 65_536 + g[7], k).bitwiseAND(F.lit(255)).cast("string") for k in (24, 16, 8, 0)])
+    step = step.withColumn("_v4", F.when(~a.contains(":"), a).when(mapped, octets)).withColumn("_v4_open", public_v4(F.col("_v4")))
+    within = lambda mask, value: g[0].bitwiseAND(F.lit(mask)) == value
+    closed = (zeros(7) & (g[7] <= 1)) | within(0xFF00, 0xFF00) | within(0xFE00, 0xFC00) | within(0xFFC0, 0xFE80) | ((g[0] == 0x2001) & (g[1] == 0x0DB8))
+    verdict = F.when(F.col("_v4").isNotNull(), F.col("_v4_open")).when(F.col("_g").isNotNull(), ~closed)
+    return step.select(*df.columns, verdict.alias(name))
+
+
 def negotiated(header: Column) -> Column:
     """br, gzip or identity.  Weights only say whether a coding is acceptable; the last word on a coding counts."""
 

@@ -1,7 +1,7 @@
 """What an origin decides a request or an answer at a time, each with its SQL.
 
-Headers and paths aren't in the test tables.  Such queries give every page one of a list of
-hand-made cases, and their SQL has the results that the cases should have.
+Headers and paths aren't in the test tables.  Such queries give every page a combination of hand-made
+arguments, and their SQL has the rule again; the tests have the results of cases by hand.
 """
 
 from __future__ import annotations
@@ -32,45 +32,86 @@ def _literal(x) -> str:
     return "NULL" if x is None else "'" + x.replace("'", "''") + "'" if isinstance(x, str) else str(x).lower()
 
 
-def _cases(name: str, result: str, function, cases: list[tuple], kind: str = "string") -> None:
-    """cases: (argument, ..., result); page p has case p % len(cases)."""
-    n = len(cases)
+def _crossed(name: str, result: str, function, values: list[list], rule: str, kind: str = "string") -> None:
+    """A rule on every page: its arguments run through all combinations of their values; rule is the same on a0, a1, ... in SQL."""
+    sql_kind = {"string": "VARCHAR"}
+    columns, parts, stride = [], [], 1
+    for i, own in enumerate(values):
+        columns.append(lambda own=own, stride=stride: F.get(F.array(*[F.lit(x).cast("string") if x is None else F.lit(x) for x in own]), (F.expr(f"page_id div {stride}") % len(own)).cast("int")))
+        parts.append(f"[{', '.join(map(_literal, own))}][page_id // {stride} % {len(own)} + 1] AS a{i}")
+        stride *= len(own)
 
     def run(spark, sf_dir: str) -> DataFrame:
-        k = (F.col("page_id") % n).cast("int")
-        arguments = [F.get(F.array(*[F.lit(x).cast("string") if x is None else F.lit(x) for x in column]), k) for column in list(zip(*cases, strict=True))[:-1]]
-        return table(spark, sf_dir, "pages").select("page_id", function(*arguments).cast(kind).alias(result))
+        return table(spark, sf_dir, "pages").select("page_id", function(*[c() for c in columns]).cast(kind).alias(result))
 
     Q[name] = run
-    sql_kind = {"string": "VARCHAR"}.get(kind, kind)
-    SQL[name] = f"SELECT page_id, CAST(CASE page_id % {n} {' '.join(f'WHEN {i} THEN {_literal(c[-1])}' for i, c in enumerate(cases))} END AS {sql_kind}) AS {result} FROM pages"
-
-
-_cases("validator_choice", "validator", f.validator, [('"a"', "Mon", '"a"'), ('W/"a"', "Mon", "Mon"), (None, "Tue", "Tue"), ('W/"a"', None, None), ('"b"', None, '"b"')])
-_cases("content_range", "total", f.content_range_total, [
-    ("bytes 0-9/100", 0, 9, 100), ("bytes 0-9/10", 0, 9, 10), ("bytes 0-9/9", 0, 9, None), ("bytes 1-9/100", 0, 9, None), ("bytes 0-9/*", 0, 9, None), ("items 0-9/100", 0, 9, None), (None, 0, 9, None),
-    ("bytes 0-9/99999999999999999999", 0, 9, None),
-], "bigint")
-_cases("public_address", "is_public", f.public_v4, [
-    ("8.8.8.8", True), ("10.1.2.3", False), ("100.64.0.1", False), ("100.128.0.1", True), ("172.31.255.255", False), ("172.32.0.0", True), ("198.19.0.1", False), ("198.20.0.1", True), ("192.0.1.1", True),
-    ("203.0.113.9", False), ("255.255.255.255", False), ("223.255.255.255", True), ("0.1.2.3", False), ("1.2.3.256", None), ("host", None), (None, None),
-], "boolean")
-_cases("encoding_negotiation", "encoding", f.negotiated, [
-    ("gzip, br", "br"), ("gzip;q=1, br;q=0", "gzip"), ("x-gzip", "gzip"), ("*", "br"), ("*, br;q=0", "gzip"), ("*;q=0", "identity"), ("BR ; Q = 0.1", "br"), ("br;q=x", "identity"), ("br;q=0;q=1", "br"), ("br, br;q=0", "identity"), ("", "identity"), (None, "identity"),
-])
-_cases("path_resources", "resource", lambda p: F.to_json(f.resource(p)), [
-    ("/hls/a/master.m3u8", '{"asset":"a"}'), ("/dash/b/video-hd/x", '{"asset":"b","rendition":"hd"}'), ("/hls/c/subtitles/en/index.m3u8", '{"asset":"c","subtitle":"en"}'), ("/hls//x", None), ("/other/a", None), ("hls/a", None), ("/hls/d", '{"asset":"d"}'),
-])
-_cases("token_transport", "token", f.carried_token, [
-    ("Bearer  t1 ", "token=t2", "token=t3", "t1"), ("Basic x", "a=1; token=t2", "token=t3", "t2"), (None, "tokens=1", "a=b&token=t3", "t3"), (None, None, None, None), ("bearer t4", None, None, "t4"), (None, "token=a=b", None, "a=b"),
-])
-_cases("error_classes", "status", f.error_status, [("not found", 404), ("upstream", 502), ("location rejected", 502), ("unavailable", 503), ("invalid media", 500), (None, 500)], "bigint")
-_cases("known_languages", "language", f.known_language, [("eng", "eng"), ("und", None), ("EN", None), ("deu", "deu"), ("en1", None), (None, None)])
-_cases("fourcc_text", "text", f.printable, [("avc1", "avc1"), ("a\x01b\x7f", "a?b?"), ("mp4é", "mp4?"), (None, None)])
-_cases("avc_codecs", "codec", f.avc_codec, [(100, 0, 31, "avc1.64001f"), (66, 192, 30, "avc1.42c01e"), (77, 64, 10, "avc1.4d400a")])
-_cases("hevc_codecs", "codec", f.hevc_codec, [
-    ("hvc1", 1, 0x60000000, "900000000000", 60, "hvc1.1.6.L60.90"), ("hev1", 0x22, 0x20000000, "b00000000000", 120, "hev1.2.4.H120.B0"), ("hvc1", 0x41, 1, "000000000000", 93, "hvc1.A1.80000000.L93"), ("hvc1", 1, 6, "900100000000", 90, "hvc1.1.60000000.L90.90.1"),
-])
+    SQL[name] = f"SELECT page_id, CAST({rule} AS {sql_kind.get(kind, kind)}) AS {result} FROM (SELECT page_id, {', '.join(parts)} FROM pages)"
+
+
+_crossed("validator_choice", "validator", f.validator, [['"a"', 'W/"a"', None, '"b"'], ["Mon", None, "Tue"]], "CASE WHEN a0 IS NOT NULL AND NOT starts_with(a0, 'W/') THEN a0 ELSE a1 END")
+_RANGE = "TRY_CAST(regexp_extract(a0, '^bytes ([0-9]+)-([0-9]+)/([0-9]+)$', {}) AS BIGINT)"
+_crossed(
+    "content_range", "total", f.content_range_total,
+    [["bytes 0-9/100", "bytes 0-9/10", "bytes 0-9/9", "bytes 1-9/100", "bytes 0-9/*", "items 0-9/100", None, "bytes 0-9/99999999999999999999", "bytes 5-20/21", " bytes 0-9/100"], [0, 1, 5], [9, 20]],
+    f"CASE WHEN {_RANGE.format(1)} = a1 AND {_RANGE.format(2)} = a2 AND {_RANGE.format(3)} > a2 THEN {_RANGE.format(3)} END", "bigint",
+)
+
+_V4 = r"regexp_full_match({0}, '[0-9]{{1,3}}(\.[0-9]{{1,3}}){{3}}') AND list_max(list_transform(string_split({0}, '.'), lambda x: TRY_CAST(x AS INT))) <= 255"
+_OPEN_V4 = """NOT (p[1] IN (0, 10, 127) OR p[1] >= 224 OR (p[1] = 100 AND p[2] // 64 = 1) OR (p[1] = 169 AND p[2] = 254) OR (p[1] = 172 AND p[2] // 16 = 1) OR (p[1] = 192 AND p[2] = 168) OR (p[1] = 192 AND p[2] = 0 AND p[3] IN (0, 2)) OR (p[1] = 198 AND p[2] // 2 = 9)
+  OR (p[1] = 198 AND p[2] = 51 AND p[3] = 100) OR (p[1] = 203 AND p[2] = 0 AND p[3] = 113))"""
+_ADDRESSES = [
+    "8.8.8.8", "10.1.2.3", "100.64.0.1", "100.128.0.1", "172.31.255.255", "172.32.0.0", "198.19.0.1", "198.20.0.1", "192.0.1.1", "192.0.2.7", "203.0.113.9", "255.255.255.255", "223.255.255.255", "0.1.2.3", "127.0.0.1", "169.254.169.254", "1.2.3.256", "host", None,
+    "::1", "::", "::2", "fe80::1", "febf::1", "fec0::1", "fc00::1", "fdff::1", "ff02::1", "2606:4700:4700::1111", "2001:db8::5", "2001:db9::5", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "::FFFF:808:808", "1:2:3:4:5:6:7:8", "1:2:3:4:5:6:7", "1::2::3", "1:2:3:4:5:6:7::", "12345::1", "g::1", ":1:2:3:4:5:6:7", "::ffff:1.2.3.300",
+]
+
+
+@_query(rf"""WITH a AS (SELECT page_id, [{', '.join(map(_literal, _ADDRESSES))}][page_id % {len(_ADDRESSES)} + 1] AS t FROM pages), b AS (SELECT *, CASE WHEN contains(t, ':') THEN regexp_extract(t, ':([0-9]+\.[0-9]+\.[0-9]+\.[0-9]+)$', 1) END AS d FROM a),
+c AS (SELECT *, CASE WHEN d <> '' THEN CASE WHEN {_V4.format('d')} THEN list_transform(string_split(d, '.'), lambda x: x::INT) END END AS q FROM b),
+e AS (SELECT *, lower(CASE WHEN d <> '' THEN left(t, length(t) - length(d)) || printf('%x:%x', (q[1] * 256 + q[2])::BIGINT, (q[3] * 256 + q[4])::BIGINT) ELSE t END) AS u FROM c),
+g AS (SELECT *, string_split(u, '::') AS s, CASE WHEN string_split(u, '::')[1] = '' THEN []::VARCHAR[] ELSE string_split(string_split(u, '::')[1], ':') END AS l, CASE WHEN string_split(u, '::')[2] = '' THEN []::VARCHAR[] ELSE string_split(string_split(u, '::')[2], ':') END AS r FROM e),
+h AS (SELECT *, CASE WHEN len(s) = 1 THEN string_split(u, ':') WHEN len(s) = 2 AND len(l) + len(r) <= 7 THEN list_concat(list_concat(l, list_resize([]::VARCHAR[], 8 - len(l) - len(r), '0')), r) END AS w FROM g),
+k AS (SELECT page_id, t, CASE WHEN len(w) = 8 AND len(list_filter(w, lambda x: regexp_full_match(x, '[0-9a-f]{{1,4}}'))) = 8 THEN list_transform(w, lambda x: ('0x' || x)::BIGINT) END AS n FROM h),
+m AS (SELECT *, CASE WHEN contains(t, ':') THEN CASE WHEN list_sum(n[1:5]) = 0 AND n[6] = 65535 THEN [n[7] // 256, n[7] % 256, n[8] // 256, n[8] % 256] END WHEN {_V4.format('t')} THEN list_transform(string_split(t, '.'), lambda x: x::BIGINT) END AS p FROM k)
+SELECT page_id, CASE WHEN p IS NOT NULL THEN {_OPEN_V4} WHEN contains(t, ':') AND n IS NOT NULL THEN NOT ((list_sum(n[1:7]) = 0 AND n[8] <= 1) OR n[1] // 256 = 255 OR n[1] // 512 = 126 OR n[1] // 64 = 1018 OR (n[1] = 8193 AND n[2] = 3512)) END AS is_public FROM m""")
+def public_address(spark, sf_dir: str) -> DataFrame:
+    """Whether an address may be fetched from: both kinds, and one mapped into the other."""
+    address = F.get(F.array(*[F.lit(x).cast("string") for x in _ADDRESSES]), (F.col("page_id") % len(_ADDRESSES)).cast("int"))
+    return f.public_addresses(table(spark, sf_dir, "pages").select("page_id", address.alias("a")), "a", "is_public").drop("a")
+
+
+_ITEMS = r"""list_transform(string_split(coalesce(a0, ''), ','), lambda x: {'c': lower(trim(string_split(x, ';')[1])), 'q': list_filter(list_transform(string_split(x, ';')[2:], lambda y: trim(y)), lambda y: regexp_matches(y, '^[qQ]\s*='))[-1]})"""
+_OK = r"(y.q IS NULL OR coalesce(TRY_CAST(regexp_replace(y.q, '^[^=]*=\s*', '') AS DOUBLE) > 0, false))"
+
+
+def _said(codings: str) -> str:
+    return f"list_transform(list_filter({_ITEMS}, lambda y: y.c IN ({codings})), lambda y: {_OK})[-1]"
+
+
+_crossed(
+    "encoding_negotiation", "encoding", f.negotiated,
+    [["gzip, br", "gzip;q=1, br;q=0", "x-gzip", "*", "*, br;q=0", "*;q=0", "BR ; Q = 0.1", "br;q=x", "br;q=0;q=1", "br, br;q=0", "", None, "identity, gzip;q=0.000", "deflate, GZIP;q=0.5", "*;q=0, gzip", "br;level=5;q=0, *"]],
+    f"""CASE WHEN coalesce({_said("'br'")}, {_said("'*'")}, false) THEN 'br' WHEN coalesce({_said("'gzip', 'x-gzip'")}, {_said("'*'")}, false) THEN 'gzip' ELSE 'identity' END""",
+)
+_crossed(
+    "path_resources", "resource", lambda p, q: F.to_json(f.resource(F.concat(p, q))), [["/hls/a", "/dash/b", "/hls/", "/other/a", "hls/a", "/HLS/a"], ["", "/master.m3u8", "/video-hd/x", "/subtitles/en/index.m3u8", "/video-/y", "/subtitles"]],
+    r"""CASE WHEN string_split(a0 || a1, '/')[1] = '' AND string_split(a0 || a1, '/')[2] IN ('hls', 'dash') AND coalesce(string_split(a0 || a1, '/')[3], '') <> '' THEN '{"asset":"' || string_split(a0 || a1, '/')[3] || '"' ||
+  CASE WHEN starts_with(string_split(a0 || a1, '/')[4], 'video-') THEN ',"rendition":"' || string_split(a0 || a1, '/')[4][7:] || '"' ELSE '' END || CASE WHEN string_split(a0 || a1, '/')[4] = 'subtitles' AND len(string_split(a0 || a1, '/')) > 4 THEN ',"subtitle":"' || string_split(a0 || a1, '/')[5] || '"' ELSE '' END || '}' END""",
+)
+_AMONG = "trim(regexp_replace(list_filter(list_transform(string_split({0}, '{1}'), lambda x: trim(x)), lambda x: starts_with(x, 'token='))[1], '^[^=]*=', ''))"
+_crossed(
+    "token_transport", "token", f.carried_token, [["Bearer  t1 ", "Basic x", None, "bearer t4", "Bearer"], ["token=t2", "a=1; token=t2", "tokens=1", None, "token=a=b"], ["token=t3", "a=b&token=t3", None]],
+    f"coalesce(CASE WHEN regexp_matches(a0, '^[bB][eE][aA][rR][eE][rR] ') THEN trim(regexp_replace(a0, '^[^ ]* ', '')) END, {_AMONG.format('a1', ';')}, {_AMONG.format('a2', '&')})",
+)
+_crossed("error_classes", "status", f.error_status, [["not found", "upstream", "location rejected", "unavailable", "invalid media", None]], "CASE a0 WHEN 'not found' THEN 404 WHEN 'upstream' THEN 502 WHEN 'location rejected' THEN 502 WHEN 'unavailable' THEN 503 ELSE 500 END", "bigint")
+_crossed("known_languages", "language", f.known_language, [["eng", "und", "EN", "deu", "en1", None, "engl", "fr"]], "CASE WHEN regexp_full_match(a0, '[a-z]{3}') AND a0 <> 'und' THEN a0 END")
+_crossed("fourcc_text", "text", lambda a, b: f.printable(F.concat(a, b)), [["avc", "a\x01b", "mp4", "  ~"], ["1", "\x7f", "é", " "]], "regexp_replace(a0 || a1, '[^ -~]', '?', 'g')")
+_crossed("avc_codecs", "codec", f.avc_codec, [[100, 66, 77, 88], [0, 192, 64], [31, 30, 10, 51]], "printf('avc1.%02x%02x%02x', a0, a1, a2)")
+_FLAGS = "list_reverse(string_split(printf('%032b', a2::BIGINT), ''))"
+_crossed(
+    "hevc_codecs", "codec", f.hevc_codec, [["hvc1", "hev1"], [1, 0x22, 0x41, 0xE4], [0x60000000, 0x20000000, 1, 6], ["900000000000", "b00000000000", "000000000000", "900100000000", "0a0000000010"], [60, 93, 120]],
+    f"""a0 || '.' || ['', 'A', 'B', 'C'][a1 // 64 + 1] || (a1 % 32) || '.' || printf('%X', list_sum(list_transform({_FLAGS}, lambda x, i: CASE x WHEN '1' THEN (1::BIGINT << (32 - i)) ELSE 0 END))::BIGINT) || '.' || CASE a1 // 32 % 2 WHEN 0 THEN 'L' ELSE 'H' END || a4
+  || list_aggregate(list_transform(range(coalesce(list_max(list_filter(range(1, 7), lambda i: a3[2 * i - 1:2 * i] <> '00')), 0)), lambda i: '.' || printf('%X', ('0x' || a3[2 * i + 1:2 * i + 2])::BIGINT)) || [''], 'string_agg', '')""",
+)
 
 
 @_query("SELECT c_custkey AS id, concat(chr(((p >> 10) & 31)::INT + 96), chr(((p >> 5) & 31)::INT + 96), chr((p & 31)::INT + 96)) AS language FROM (SELECT c_custkey, (c_custkey * 37 % 32768)::BIGINT AS p FROM customer)")
