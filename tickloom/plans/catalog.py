@@ -240,9 +240,15 @@ def gap_budget(spark, sf_dir: str) -> DataFrame:
     return gap_budget_reads(samples(spark, sf_dir).withColumnRenamed("size", "length"), list(TRACK), "sample_index")
 
 
-@_query("SELECT o_orderkey AS id, left(sha256(concat(o_orderkey, '|', o_custkey, '|', o_orderstatus)), 16) AS version FROM orders")
+_PARTS = ("o_orderkey::VARCHAR", "o_custkey::VARCHAR", "o_orderstatus", "o_orderpriority")
+
+
+@_query(f"SELECT o_orderkey AS id, left(sha256(concat({', '.join(f'printf({chr(39)}%016x{chr(39)}, strlen({p})::BIGINT), {p}' for p in _PARTS)})), 16) AS version FROM orders")
 def content_version(spark, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.left(F.sha2(F.concat_ws("|", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), "o_orderstatus"), 256), F.lit(16)).alias("version"))
+    """A digest of parts, each after its length, so that no two lists of parts run together alike."""
+    parts = [F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderstatus"), F.col("o_orderpriority")]
+    joined = F.concat(*[x for p in parts for x in (F.lower(F.lpad(F.hex(F.octet_length(p).cast("bigint")), 16, "0")), p)])
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.left(F.sha2(joined, 256), F.lit(16)).alias("version"))
 
 
 def _cues(spark, sf_dir: str) -> DataFrame:

@@ -16,7 +16,7 @@ from tickloom.functions.captions import srt_cues, ttml_files
 from tickloom.functions.ciphers import ctr, pattern_decrypt, pattern_encrypt
 from tickloom.functions.text import cue_time, xml_escape
 from tickloom.functions.tokens import sign, verify
-from tickloom.operators.ranges import CHUNK, gap_budget_reads
+from tickloom.operators.ranges import CHUNK, GAP_BUDGET, MAX_GAP, gap_budget_reads
 from tickloom.operators.series import TRACK
 from tickloom.plans.catalog import _CUE_SQL, BOUNDS_SQL, PLAN_SQL, _cues, _with, asset_rollup, requests_by_route
 from tickloom.plans.catalog import SQL as CATALOG_SQL
@@ -205,12 +205,26 @@ def sample_ciphers(spark, sf_dir: str) -> DataFrame:
 MAX_RUNS, HELD_CHUNKS = 4, 4
 
 
-@_query()
+def _reads_sql(name: str, order: str) -> str:
+    """One gap-and-budget scan of pieces (asset_id, i, a, b), as recursion."""
+    return f""",
+{name}p AS (SELECT asset_id, row_number() OVER (PARTITION BY asset_id ORDER BY {order}) AS k, a, b FROM pc),
+{name}r AS (SELECT asset_id, k, a AS x, b AS y, 0::BIGINT AS spent, 0::BIGINT AS read, b - a <= {CHUNK} AS open FROM {name}p WHERE k = 1
+  UNION ALL SELECT asset_id, k, CASE WHEN fits THEN x ELSE a END, b, CASE WHEN fits THEN spent + a - y ELSE spent END, CASE WHEN fits THEN read ELSE read + 1 END, fits OR b - a <= {CHUNK}
+  FROM (SELECT p.*, r.x, r.y, r.spent, r.read, r.open AND p.a >= r.y AND p.a - r.y <= {MAX_GAP} AND r.spent + p.a - r.y <= {GAP_BUDGET} AND p.b - r.x <= {CHUNK} AS fits FROM {name}r r JOIN {name}p p ON p.asset_id = r.asset_id AND p.k = r.k + 1)),
+{name}c AS (SELECT asset_id, count(*) AS reads, sum(n)::BIGINT AS bytes FROM (SELECT asset_id, read, max(y) - min(x) AS n FROM {name}r GROUP BY asset_id, read) GROUP BY asset_id)"""
+
+
+@_query(_with(SAMPLES_SQL + """,
+pc AS (SELECT asset_id, track_id * 10000000000 + sample_index AS i, "offset" AS a, "offset" + size AS b FROM s),
+bk AS (SELECT *, sum(back::INT) OVER (PARTITION BY asset_id ORDER BY i) AS run FROM (SELECT *, a < coalesce(lag(b) OVER (PARTITION BY asset_id ORDER BY i), 0) AS back FROM pc)),
+""" + f"""lm AS (SELECT asset_id, max(run) BETWEEN 1 AND {MAX_RUNS - 1} AND max(b - a) <= {CHUNK} AND sum(CASE WHEN run > 0 THEN b - a ELSE 0 END) <= {CHUNK * HELD_CHUNKS} AS may FROM bk GROUP BY asset_id)""" + _reads_sql("ap", "i") + _reads_sql("mg", "a, i"),
+    "SELECT lm.asset_id, may AND m.bytes < t.bytes AS together, CASE WHEN may AND m.bytes < t.bytes THEN m.reads ELSE t.reads END AS reads, CASE WHEN may AND m.bytes < t.bytes THEN m.bytes ELSE t.bytes END AS bytes FROM lm JOIN apc t USING (asset_id) JOIN mgc m USING (asset_id)"))
 def interleaved_reads(spark, sf_dir: str) -> DataFrame:
     """Reads of each asset's samples, track after track: by offset through all tracks where that reads fewer bytes.
 
     A new run starts where a piece lies before the end of the last one.  Too many runs, a piece longer than a chunk, or
-    too much to hold back keep the runs apart.  No SQL: the tests compare with plain Python.
+    too much to hold back keep the runs apart.
     """
     return read_interleaved(samples(spark, sf_dir, reuse=True).select("asset_id", (F.col("track_id") * 10_000_000_000 + F.col("sample_index")).alias("i"), "offset", F.col("size").alias("length")), ["asset_id"], "i")
 
@@ -241,11 +255,17 @@ def stream_requests(spark, sf_dir: str) -> DataFrame:
     return spark.read.schema("route string, status long, n long").parquet(f"{folder}/out")
 
 
-@_query(_with(SAMPLES_SQL, f"""SELECT asset_id, track_id, sample_index // {PER_FRAGMENT} AS fragment, min(decode_time) AS start, arg_max(decode_time + duration, sample_index) AS "end", false AS late FROM s GROUP BY ALL"""))
+@_query(_with(SAMPLES_SQL + f""",
+fr AS (SELECT asset_id, track_id, k, CASE WHEN k % 9 = 6 THEN t - 40000 WHEN k % 3 = 0 THEN t END AS st, du FROM (SELECT asset_id, track_id, sample_index // {PER_FRAGMENT} AS k, min(decode_time) AS t, sum(duration)::BIGINT AS du FROM s GROUP BY ALL)),
+fo AS (SELECT asset_id, track_id, k, coalesce(st, 0) AS a, coalesce(st, 0) < 0 AS late, CASE WHEN coalesce(st, 0) < 0 THEN 0 ELSE coalesce(st, 0) + du END AS due, du FROM fr WHERE k = 0
+  UNION ALL SELECT f.asset_id, f.track_id, f.k, coalesce(f.st, o.due), coalesce(f.st, o.due) < o.due, CASE WHEN coalesce(f.st, o.due) < o.due THEN o.due ELSE coalesce(f.st, o.due) + f.du END, f.du FROM fo o JOIN fr f ON f.asset_id = o.asset_id AND f.track_id = o.track_id AND f.k = o.k + 1)""",
+    """SELECT asset_id, track_id, k AS fragment, a AS start, a + du AS "end", late FROM fo"""))
 def stream_fragments(spark, sf_dir: str) -> DataFrame:
-    """Fragments by a stream that stops once; of each three, two don't say when they start."""
-    parts = samples(spark, sf_dir).groupBy(*TRACK, F.expr(f"sample_index div {PER_FRAGMENT}").alias("fragment")).agg(F.min("decode_time").alias("start"), F.sum("duration").alias("duration"))
-    parts = parts.withColumn("start", F.when(F.col("fragment") % 3 == 0, F.col("start")))
+    """Fragments by a stream that stops once; of each three, two don't say when they start, and of each nine one starts before the one before has ended."""
+    k = F.expr(f"sample_index div {PER_FRAGMENT}")
+    parts = samples(spark, sf_dir).groupBy(*TRACK, k.alias("fragment")).agg(F.min("decode_time").alias("start"), F.sum("duration").alias("duration"))
+    start = F.when(F.col("fragment") % 9 == 6, F.col("start") - 40_000).when(F.col("fragment") % 3 == 0, F.col("start"))
+    parts = parts.withColumn("start", start)
     return in_parts([parts.where("fragment < 2"), parts.where("fragment >= 2")], ordered_fragments)
 
 

@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections import OrderedDict
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import ordered_scan, running_before
@@ -199,3 +199,23 @@ def sequence_bytes(spark, sf_dir: str) -> DataFrame:
     s = samples(spark, sf_dir, reuse=True)
     plan = segment_plan(s)
     return segment_bytes(s, plan).join(clip_places(plan, media(tracks(s))), "asset_id").groupBy("sequence").agg(F.sum("bytes").alias("payload"), F.countDistinct("asset_id").alias("files"))
+
+
+#: How long an answer, a refusal and an error are believed, and when an answer is too old for anything, in microseconds.
+GOOD_US, NOT_FOUND_US, ERROR_US, HARD_US = 12 * 3_600_000_000, 3_600_000_000, 24 * 3_600_000_000, 96 * 3_600_000_000
+
+
+@_query(f"""WITH e AS (SELECT event_id, user_id, event_type, epoch_us(ts) AS us FROM events), w AS (SELECT *, max(CASE WHEN event_type IN ('purchase', 'signup') THEN us * 2 + (event_type = 'purchase')::INT END) OVER v AS answered, max(us) FILTER (event_type = 'click') OVER v AS failed
+  FROM e WINDOW v AS (PARTITION BY user_id ORDER BY us, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)), a AS (SELECT *, us - answered // 2 AS age, answered % 2 = 1 AS good FROM w)
+SELECT event_id, CASE WHEN answered IS NULL THEN 'miss' WHEN NOT good THEN CASE WHEN age <= {NOT_FOUND_US} THEN 'negative_hit' ELSE 'miss' END WHEN age <= {GOOD_US} THEN 'hit' WHEN age > {HARD_US} THEN 'expired' WHEN failed >= answered // 2 AND us - failed <= {ERROR_US} THEN 'stale' ELSE 'revalidate' END AS state FROM a""")
+def cache_outcomes(spark, sf_dir: str) -> DataFrame:
+    """Each request against what its user's catalog said last: an answer, a refusal, or an error since, for which an old answer may still be served."""
+    before = Window.partitionBy("user_id").orderBy("us", "event_id").rowsBetween(Window.unboundedPreceding, -1)
+    kind = F.col("event_type")
+    e = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    answer = F.when(kind.isin("purchase", "signup"), F.struct("us", (kind == "purchase").alias("good")))
+    w = e.select("event_id", "us", F.max(answer).over(before).alias("a"), F.max(F.when(kind == "click", F.col("us"))).over(before).alias("failed"))
+    age = F.col("us") - F.col("a.us")
+    stale = F.coalesce((F.col("failed") >= F.col("a.us")) & (F.col("us") - F.col("failed") <= ERROR_US), F.lit(False))
+    good = F.when(age <= GOOD_US, "hit").when(age > HARD_US, "expired").when(stale, "stale").otherwise("revalidate")
+    return w.select("event_id", F.when(F.col("a").isNull(), "miss").when(F.col("a.good"), good).when(age <= NOT_FOUND_US, "negative_hit").otherwise("miss").alias("state"))

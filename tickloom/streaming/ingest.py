@@ -19,8 +19,11 @@ TRACK = ["asset_id", "track_id"]
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of the warehouse where none is set (tests on one machine)."""
+    """The folder of spark.checkpoint.dir; where none is set one of the warehouse, but only for a master that runs in this one process."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not at and not (master == "local" or master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
     return at or f"{spark.conf.get('spark.sql.warehouse.dir')}/streams"
 
 
