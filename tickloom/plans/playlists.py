@@ -14,7 +14,7 @@ from tickloom.operators.series import TRACK, keyframes
 from tickloom.plans.catalog import KEY_SQL, PLAN_SQL, _with
 from tickloom.plans.segments import rates, segment_plan, target_durations
 from tickloom.sources.media import MEDIA_SQL, SUBTITLES_SQL, media, subtitles
-from tickloom.sources.views import samples, tracks
+from tickloom.sources.views import kept, samples, tracks
 
 GROUPS = 10
 
@@ -53,8 +53,8 @@ def _yes(c: Column) -> Column:
 def _prepared(spark, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Samples, their plan, tracks with what their files say, and rates by track."""
     s = samples(spark, sf_dir, reuse=True)
-    plan = segment_plan(s)
-    return s, plan, media(tracks(s)), rates(s, plan)
+    plan = kept(spark, sf_dir, "plan", lambda: segment_plan(s))
+    return s, plan, media(kept(spark, sf_dir, "tracks", lambda: tracks(s))), kept(spark, sf_dir, "rates", lambda: rates(s, plan))
 
 
 # --- lines of audio and caption renditions ---

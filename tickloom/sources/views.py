@@ -11,6 +11,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+#: Kept views by application, folder and name: a view that several queries read is kept once.
+_kept: dict[tuple[str, str, str], DataFrame] = {}
+
 TRACK_KEYS = {1: "video", 2: "audio-1", 3: "audio-2"}
 
 
@@ -18,11 +21,30 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def kept(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
+    """make(), held in memory or on disk until ``release``; the same one whenever it is asked for."""
+    at = (spark.sparkContext.applicationId, sf_dir, name)
+    # what clearCache has dropped is made anew
+    if at not in _kept or not _kept[at].storageLevel.useMemory:
+        _kept[at] = make().persist(StorageLevel.MEMORY_AND_DISK)
+    return _kept[at]
+
+
+def release(spark: SparkSession) -> int:
+    """Gives up all kept views of this application."""
+    gone = [at for at in _kept if at[0] == spark.sparkContext.applicationId]
+    for at in gone:
+        _kept.pop(at).unpersist()
+    return len(gone)
+
+
 def samples(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
-    """reuse: kept in memory or on disk, for plans that read the series several times.
+    """reuse: kept (see ``kept``), for plans that read the series several times.
 
     (asset_id, track_id, timescale, sample_index, offset, size, decode_time, duration, composition_offset, is_sync)
     """
+    if reuse:
+        return kept(spark, sf_dir, "samples", lambda: samples(spark, sf_dir))
     events = table(spark, sf_dir, "events")
     kind = F.col("event_type")
     track = F.when(kind.isin("view", "click"), 1).when(kind.isin("purchase", "signup"), 2).otherwise(3)
@@ -36,13 +58,12 @@ def samples(spark: SparkSession, sf_dir: str, reuse: bool = False) -> DataFrame:
     base = base.withColumn("timescale", F.when(F.col("track_id") == 1, 1000).when(F.col("track_id") == 2, 48000).otherwise(44100).cast("bigint"))
     placed = base.withColumn("first_us", F.first("us").over(whole)).withColumn("offset", F.coalesce(F.sum("size").over(whole.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     timed = placed.withColumn("decode_time", F.expr("((us - first_us) * timescale) div 3600000000")).withColumn("sample_index", F.row_number().over(own).cast("bigint") - 1)
-    out = timed.select(
+    return timed.select(
         "asset_id", "track_id", "timescale", "sample_index", "offset", "size", "decode_time",
         F.coalesce(F.lead("decode_time").over(own) - F.col("decode_time"), F.col("timescale")).alias("duration"),
         ((F.col("event_id") % 3 - 1) * 10).cast("bigint").alias("composition_offset"),
         ((F.col("track_id") != 1) | (F.col("event_type") == "view") | (F.col("sample_index") == 0)).alias("is_sync"),
     )
-    return out.persist(StorageLevel.MEMORY_AND_DISK) if reuse else out
 
 
 def tracks(samples: DataFrame) -> DataFrame:
