@@ -337,9 +337,9 @@ def asset_rollup(spark, sf_dir: str) -> DataFrame:
 
 def _parts() -> list:
     # they use this module's SQL, so they are imported when it is complete
-    from tickloom.plans import clips, formats, manifests, media_bytes, origin, playlists, requests, rules, status, trims
+    from tickloom.plans import clips, formats, grids, manifests, media_bytes, origin, playlists, requests, rules, status, trims
 
-    return [clips, requests, formats, origin, playlists, manifests, trims, rules, status, media_bytes]
+    return [clips, requests, formats, origin, playlists, manifests, trims, rules, status, media_bytes, grids]
 
 
 def queries() -> dict:
