@@ -10,7 +10,7 @@ from tickloom.operators.ordered import exact_quantiles, running_before
 from tickloom.plans import status
 from tickloom.sources.boxes import BoxError, box, boxes
 from tickloom.sources.entries import (
-    Bits, Cursor, aac_object_type, audio_entry, entry_codec, escaped, index_box, index_ranges, plain_audio, read_edits, read_tracks, start_of_stream, subsegment_fragments, unescaped, units_tile, video_entry,
+    Bits, Cursor, aac_object_type, audio_entry, entry_codec, escaped, index_box, index_ranges, plain_audio, read_edits, read_protection, read_tracks, start_of_stream, subsegment_fragments, unescaped, units_tile, video_entry,
 )
 
 
@@ -149,3 +149,12 @@ def test_running_sums_and_quantiles_by_ranges(spark):
     q = exact_quantiles(spark.createDataFrame([("a", float(x)) for _, x, _ in rows] + [("b", 1.0), ("a", None)], "k string, v double"), ["k"], "v", {"p50": 0.5, "p100": 1.0}).orderBy("k").collect()
     xs = sorted(x for _, x, _ in rows)
     assert [tuple(r) for r in q] == [("a", float(xs[249]), float(xs[-1])), ("b", 1.0, 1.0)]
+
+
+def test_sample_protection_bytes():
+    two = bytes.fromhex("00000002" "00000002" "0102030405060708" "0002" "0010" "00000020" "0001" "00000003" "1112131415161718" "0000")
+    assert read_protection(two, 8, 2) == ([bytes.fromhex("0102030405060708"), bytes.fromhex("1112131415161718")], [0, 2, 2], [(16, 32), (1, 3)])
+    assert read_protection(bytes.fromhex("00000000" "00000003"), 0, 3) == ([b""] * 3, [0] * 4, [])
+    for bad, size, n in ((two, 8, 3), (two[:-1], 8, 2), (two + b"x", 8, 2), (two, 12, 2)):
+        with pytest.raises(BoxError):
+            read_protection(bad, size, n)

@@ -5,17 +5,21 @@ The bytes are written from rows and read again; the tests read bytes written out
 
 from __future__ import annotations
 
+import hashlib
 import struct
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tickloom.functions.captions import caption_kind
 from tickloom.operators.series import TRACK
 from tickloom.plans.catalog import PLAN_SQL, _with
 from tickloom.plans.trims import EDITS_SQL, MOVIE_SCALE, edit_entries
-from tickloom.sources.boxes import BoxError, box, boxes, full_box
-from tickloom.sources.entries import Bits, aac_config, audio_entry, edit_box, entry_codec, escaped, golomb, index_box, index_ranges, movie_box, read_tracks, start_of_stream, subsegment_fragments, track_box, unescaped, units_tile, video_entry
+from tickloom.sources.boxes import (
+    BASE_IS_MOOF, BASE_OFFSET, DATA_OFFSET, DEFAULT_DURATION, DEFAULT_SIZE, FIRST_FLAGS, RUN_SIZE, SYNC_FLAGS, BoxError, box, boxes, fragment_rows, full_box, keep_header, sample_tables,
+)
+from tickloom.sources.entries import Bits, aac_config, audio_entry, edit_box, entry_codec, escaped, golomb, index_box, index_ranges, movie_box, read_protection, read_tracks, start_of_stream, subsegment_fragments, track_box, unescaped, units_tile, video_entry
 from tickloom.sources.media import MEDIA_SQL, media
 from tickloom.sources.views import SAMPLES_SQL, samples, table, tracks
 
@@ -231,3 +235,121 @@ def unit_tiling(spark, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "documents").where("text is not null and length(text) > 0 and not contains(text, '  ') and not startswith(text, ' ') and not endswith(text, ' ')").select("doc_id", "text")
     return _by_row(rows, read, "doc_id long, tiles boolean")
+
+
+# --- fragments whose fields fall back, headers with cut tails, packed sizes, caption files: a customer's number says how each is made ---
+
+#: A movie's defaults for the samples of a track: duration, size, flags.
+DEFAULTS = (7, 30, 0x01010000)
+MOOF_AT = 100
+
+
+def _fragment(k: int) -> bytes:
+    """A fragment of track 1 after one of track 2 that is only measured (three samples of eleven bytes)."""
+    other = box("traf", full_box("tfhd", struct.pack(">II", 2, 11), flags=DEFAULT_SIZE), full_box("trun", struct.pack(">I", 3)))
+    flags, fields = 0, struct.pack(">I", 1)
+    if k % 3 == 0:
+        flags, fields = flags | BASE_OFFSET, fields + struct.pack(">Q", 1_000_000 + k)
+    elif k % 3 == 1:
+        flags |= BASE_IS_MOOF
+    if k % 2:
+        flags, fields = flags | DEFAULT_DURATION, fields + struct.pack(">I", 3 + k % 4)
+    if k % 8 == 0:
+        flags, fields = flags | DEFAULT_SIZE, fields + struct.pack(">I", 50)
+    time = full_box("tfdt", struct.pack(">Q" if k % 2 else ">I", 10 * k), version=k % 2)
+    n, bits, run = k % 6 + 1, 0, b""
+    if k % 7 == 0:
+        bits, run = bits | DATA_OFFSET, run + struct.pack(">i", 200)
+    if k % 5 == 0:
+        bits, run = bits | FIRST_FLAGS, run + struct.pack(">I", SYNC_FLAGS)
+    if k % 4:
+        bits, run = bits | RUN_SIZE, run + b"".join(struct.pack(">I", (k * 7 + i * 13) % 97 + 1) for i in range(n))
+    own = box("traf", full_box("tfhd", fields, flags=flags), time, full_box("trun", struct.pack(">I", n) + run, flags=bits))
+    return box("moof", full_box("mfhd", struct.pack(">I", 1)), other, own)
+
+
+@_query(f"""WITH f AS (SELECT c_custkey AS id, c_custkey AS k, unnest(range(0, c_custkey % 6 + 1)) AS i FROM customer), g AS (SELECT *, CASE k % 3 WHEN 0 THEN 1000000 + k WHEN 1 THEN {MOOF_AT} ELSE {MOOF_AT} + 33 END + CASE k % 7 WHEN 0 THEN 200 ELSE 0 END AS base,
+  CASE WHEN k % 4 > 0 THEN (k * 7 + i * 13) % 97 + 1 WHEN k % 8 = 0 THEN 50 ELSE {DEFAULTS[1]} END AS size, CASE k % 2 WHEN 1 THEN 3 + k % 4 ELSE {DEFAULTS[0]} END AS duration FROM f)
+SELECT id, i AS sample, (base + coalesce(sum(size) OVER (PARTITION BY id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))::BIGINT AS start, size::BIGINT AS size, (10 * k + i * duration)::BIGINT AS decode_time, duration::BIGINT AS duration, k % 5 = 0 AND i = 0 AS is_sync FROM g""")
+def fragment_fallbacks(spark, sf_dir: str) -> DataFrame:
+    """Samples of fragments that leave fields to their header or the movie, with each kind of base offset, behind another track's run."""
+
+    def read(x):
+        rows, _ = fragment_rows(_fragment(x["k"]), MOOF_AT, 1, 0, DEFAULTS)
+        for i, (offset, size, time, duration, _, sync) in enumerate(rows):
+            yield (x["k"], i, offset, size, time, duration, sync)
+
+    return _by_row(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), read, "id long, sample long, start long, size long, decode_time long, duration long, is_sync boolean")
+
+
+@_query("""SELECT c_custkey AS id, NOT (c_custkey % 3 = 0 AND c_custkey % 5 = 0) AS has_movie, (c_custkey % 5 - CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 > 0 THEN 1 ELSE 0 END)::BIGINT AS fragments,
+  CASE WHEN c_custkey % 5 - CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 > 0 THEN 1 ELSE 0 END > 0 THEN 24 + (c_custkey % 5 - CASE WHEN c_custkey % 3 = 0 AND c_custkey % 5 > 0 THEN 1 ELSE 0 END - 1) * (26 + c_custkey % 7) END::BIGINT AS last_start, CASE WHEN c_custkey % 3 = 0 THEN 'cut' ELSE 'ok' END AS strict FROM customer""")
+def header_walks(spark, sf_dir: str) -> DataFrame:
+    """What a walk keeps of files, a third of them cut in their last box: the movie and whole fragments; a strict one refuses what is cut."""
+
+    def read(x):
+        k = x["k"]
+        data = box("free", bytes(0)) + box("moov", bytes(8)) + (box("moof", b"x" * 8) + box("mdat", bytes(2 + k % 7))) * (k % 5)
+        data = data[:-1] if k % 3 == 0 else data
+        moov, moofs = keep_header(data)
+        try:
+            strict = "ok" if sum(1 for _ in boxes(data)) else "empty"
+        except BoxError:
+            strict = "cut"
+        yield (k, bool(moov), len(moofs), moofs[-1][0] if moofs else None, strict)
+
+    return _by_row(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), read, "id long, has_movie boolean, fragments long, last_start long, strict string")
+
+
+@_query("SELECT c_custkey AS id, i AS sample, ((c_custkey * 31 + i * 17) % [16, 256, 65536][c_custkey % 3 + 1])::BIGINT AS size FROM (SELECT c_custkey, unnest(range(0, c_custkey % 9)) AS i FROM customer)")
+def packed_sizes(spark, sf_dir: str) -> DataFrame:
+    """Sample sizes of 4, 8 or 16 bits."""
+
+    def read(x):
+        k, bits, n = x["k"], (4, 8, 16)[x["k"] % 3], x["k"] % 9
+        values = [(k * 31 + i * 17) % (1 << bits) for i in range(n)]
+        packed = int("".join(f"{v:0{bits}b}" for v in values).ljust(-(-n * bits // 8) * 8, "0") or "0", 2).to_bytes(-(-n * bits // 8), "big")
+        stbl = b"".join((full_box("stts", bytes(4)), full_box("stsc", bytes(4)), full_box("stz2", bytes([0, 0, 0, bits]) + struct.pack(">I", n) + packed), full_box("stco", bytes(4))))
+        for i, size in enumerate(sample_tables(stbl)["sizes"].tolist()):
+            yield (k, i, size)
+
+    return _by_row(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k")), read, "id long, sample long, size long")
+
+
+# fixed values: how caption files may begin
+_HEADS = ("WEBVTT\n\n", "\ufeffWEBVTT - title\n", "WEBVTTX\n", '<?xml version="1.0"?>\n<tt xmlns="x">', "<tt:tt >", "<html>", "1\n00:00:01,000 --> ", "00:01.0 --> ", "  \n12\n0:0:1,5-->", "plain ")
+_HEADS_SQL = ", ".join("'" + h.replace("'", "''").replace("\n", "' || chr(10) || '").replace("\ufeff", "' || chr(65279) || '") + "'" for h in _HEADS)
+
+
+@_query(rf"""SELECT conv_id, turn, CASE WHEN regexp_matches(h, '^WEBVTT($|[ \t\n\r])') THEN 'webvtt' WHEN regexp_matches(regexp_replace(h, '^<\?xml[^>]*>\s*', ''), '^<([a-zA-Z0-9]+:)?tt[\s>]') THEN 'ttml' WHEN regexp_matches(regexp_replace(h, '^[0-9]+\s*\n', ''), '^[0-9:]+[,.][0-9]{{1,3}}\s*-->') THEN 'srt' END AS kind
+  FROM (SELECT conv_id, turn, ltrim(replace([{_HEADS_SQL}][(length(text) + turn) % {len(_HEADS)} + 1] || text, chr(65279), ''), ' ' || chr(10)) AS h FROM conversations)""")
+def caption_sources(spark, sf_dir: str) -> DataFrame:
+    """Which kind of captions a file holds, by how it begins."""
+    head = F.get(F.array(*map(F.lit, _HEADS)), ((F.length("text") + F.col("turn")) % len(_HEADS)).cast("int"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", caption_kind(F.concat(head, "text")).alias("kind"))
+
+
+# --- the protection of samples: an order is a fragment, its vectors are of 0, 8 or 16 bytes ---
+
+
+@_query("""SELECT id, sample, CASE v WHEN 0 THEN '' ELSE left(sha256(id || '/' || sample), 2 * v) END AS iv, parts, clear::BIGINT AS clear, protected::BIGINT AS protected, first_part::BIGINT AS first_part FROM (SELECT *, sum(parts) OVER (PARTITION BY id ORDER BY sample) - parts AS first_part FROM (
+  SELECT o_orderkey AS id, i AS sample, [0, 8, 16][o_orderkey % 3 + 1] AS v, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey + i) % 3 ELSE 0 END::BIGINT AS parts, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey + i) % 3 * (10 + i) ELSE 0 END AS clear, CASE WHEN o_orderkey % 2 = 1 THEN (o_orderkey + i) % 3 * (o_orderkey % 1000) ELSE 0 END AS protected
+  FROM (SELECT o_orderkey, unnest(range(0, o_orderkey % 4)) AS i FROM orders)))""")
+def sample_protection(spark, sf_dir: str) -> DataFrame:
+    """The vector of each sample and its clear and protected parts, which lie one after the other: a sample has those from first_part on."""
+
+    def read(x):
+        k, v = x["k"], (0, 8, 16)[x["k"] % 3]
+        mapped = k % 2 == 1
+        payload = struct.pack(">II", 2 if mapped else 0, k % 4)
+        for i in range(k % 4):
+            payload += hashlib.sha256(f"{k}/{i}".encode()).digest()[:v]
+            if mapped:
+                n = (k + i) % 3
+                payload += struct.pack(">H", n) + struct.pack(">HI", 10 + i, k % 1000) * n
+        vectors, starts, parts = read_protection(payload, v, k % 4)
+        for i, iv in enumerate(vectors):
+            own = parts[starts[i] : starts[i + 1]]
+            yield (k, i, iv.hex(), len(own), sum(c for c, _ in own), sum(p for _, p in own), starts[i])
+
+    return _by_row(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), read, "id long, sample long, iv string, parts long, clear long, protected long, first_part long")

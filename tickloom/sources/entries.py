@@ -314,6 +314,31 @@ def start_of_stream(moov: bytes, wanted: list[int]) -> bytes:
     return brand + head
 
 
+# --- the protection of samples ---
+
+#: Flag of a table with a map of clear and protected parts.
+MAPPED = 2
+
+
+def read_protection(senc: bytes, iv_size: int, samples: int) -> tuple[list[bytes], list[int], list[tuple[int, int]]]:
+    """Vectors, where each sample's parts start (one more than samples), and all parts (clear, protected) in a row; as many entries as the fragment has samples."""
+    if iv_size not in (0, 8, 16):
+        raise BoxError(f"vectors of {iv_size} bytes")
+    c = Cursor(senc)
+    mapped = c.number(4) & MAPPED
+    if c.number(4) != samples:
+        raise BoxError("not a vector a sample")
+    vectors, starts, parts = [], [0], []
+    for _ in range(samples):
+        vectors.append(c.take(iv_size))
+        if mapped:
+            parts += [(c.number(2), c.number(4)) for _ in range(c.number(2))]
+        starts.append(len(parts))
+    if c.left():
+        raise BoxError("bytes are left over")
+    return vectors, starts, parts
+
+
 # --- segment indexes ---
 
 
