@@ -223,9 +223,12 @@ def trim_tail_suffix(spark, sf_dir: str) -> DataFrame:
     return per.select(*TRACK, "kept", F.coalesce(F.col("a") < F.col("b"), F.lit(True)).alias("suffix"))
 
 
-@_query(_with(SAMPLES_SQL, f""", f AS (SELECT *, (lag("offset" + size) OVER w IS DISTINCT FROM "offset")::INT AS c, (lag(duration) OVER w IS DISTINCT FROM duration OR lag(decode_time + duration) OVER w IS DISTINCT FROM decode_time)::INT AS t,
-  (lag(composition_offset) OVER w IS DISTINCT FROM composition_offset)::INT AS o FROM s WINDOW w AS ({PART}))
-SELECT asset_id, track_id, (4 * count(*) + 12 * sum(c) + 16 * sum(t) + 8 * sum(o) + 4 * count(*) FILTER (is_sync))::BIGINT AS bytes FROM f GROUP BY ALL"""))
+#: The memory of each track's index, over s.
+INDEX_SELECT = f"""SELECT asset_id, track_id, (4 * count(*) + 12 * sum(c) + 16 * sum(t) + 8 * sum(o) + 4 * count(*) FILTER (is_sync))::BIGINT AS bytes FROM (SELECT *, (lag("offset" + size) OVER w IS DISTINCT FROM "offset")::INT AS c, (lag(duration) OVER w IS DISTINCT FROM duration OR lag(decode_time + duration) OVER w IS DISTINCT FROM decode_time)::INT AS t,
+  (lag(composition_offset) OVER w IS DISTINCT FROM composition_offset)::INT AS o FROM s WINDOW w AS ({PART})) GROUP BY ALL"""
+
+
+@_query(_with(SAMPLES_SQL, INDEX_SELECT))
 def index_bytes(spark, sf_dir: str) -> DataFrame:
     """Memory of a track's index: samples, chunks, timing and composition runs, and sync samples."""
     w = Window.partitionBy(*TRACK).orderBy("sample_index")

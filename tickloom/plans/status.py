@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 
 from tickloom.operators.ordered import ordered_scan, running_before
 from tickloom.plans.catalog import PLAN_SQL, _with
-from tickloom.plans.playlists import CLIPS_SQL, clip_places
+from tickloom.plans.clips import INDEX_SELECT, index_bytes
+from tickloom.plans.playlists import CLIPS_SQL, MEDIA_PLAYLIST_SQL, SEGMENT_LINES_SQL, _prepared, clip_places, media_playlists
 from tickloom.plans.segments import segment_bytes, segment_plan
-from tickloom.sources.media import SUBTITLES_SQL, media, subtitles
+from tickloom.sources.media import MEDIA_SQL, SUBTITLES_SQL, media, subtitles
 from tickloom.sources.views import samples, table, tracks
 
 Q: dict = {}
@@ -219,3 +220,64 @@ def cache_outcomes(spark, sf_dir: str) -> DataFrame:
     stale = F.coalesce((F.col("failed") >= F.col("a.us")) & (F.col("us") - F.col("failed") <= ERROR_US), F.lit(False))
     good = F.when(age <= GOOD_US, "hit").when(age > HARD_US, "expired").when(stale, "stale").otherwise("revalidate")
     return w.select("event_id", F.when(F.col("a").isNull(), "miss").when(F.col("a.good"), good).when(age <= NOT_FOUND_US, "negative_hit").otherwise("miss").alias("state"))
+
+
+@_query(_with(PLAN_SQL + MEDIA_SQL + SUBTITLES_SQL + SEGMENT_LINES_SQL, f"""SELECT asset_id, (ix.bytes + pb.bytes + coalesce(sb.bytes, 0))::BIGINT AS bytes FROM (SELECT asset_id, sum(bytes) AS bytes FROM ({{index}}) GROUP BY asset_id) ix JOIN (SELECT asset_id, sum(strlen(body)) AS bytes FROM ({MEDIA_PLAYLIST_SQL}) GROUP BY asset_id) pb USING (asset_id)
+  LEFT JOIN (SELECT asset_id, sum(strlen(label) * 1000) AS bytes FROM su GROUP BY asset_id) sb USING (asset_id)""".replace("{index}", INDEX_SELECT)))
+def asset_memory(spark, sf_dir: str) -> DataFrame:
+    """What an asset keeps in memory: the indexes of its tracks, its rendered playlists, and its captions (a thousand bytes a letter of their label)."""
+    s, plan, m, _ = _prepared(spark, sf_dir)
+    index = index_bytes(spark, sf_dir).groupBy("asset_id").agg(F.sum("bytes").alias("i"))
+    rendered = media_playlists(s, plan, m).groupBy("asset_id").agg(F.sum(F.octet_length("body")).alias("r"))
+    captions = subtitles(m.select("asset_id").distinct()).groupBy("asset_id").agg(F.sum(F.octet_length("label") * 1000).alias("c"))
+    both = index.join(rendered, "asset_id").join(captions, "asset_id", "left")
+    return both.select("asset_id", (F.col("i") + F.col("r") + F.coalesce("c", F.lit(0))).cast("bigint").alias("bytes"))
+
+
+# fixed values: what comes before the key in its encoding, and how many bytes the key has
+KEY_PREFIXES = {"ES256": ("3059301306072a8648ce3d020106082a8648ce3d030107034200", 65), "EdDSA": ("302a300506032b6570032100", 32)}
+_KEY_INPUT = """SELECT c_custkey AS id, CASE c_custkey % 3 WHEN 0 THEN 'HS256' WHEN 1 THEN 'ES256' ELSE 'EdDSA' END AS algorithm, c_custkey % 7 AS v, substr(concat(sha2_a, sha2_b, sha2_c), 1, CASE c_custkey % 3 WHEN 1 THEN 130 ELSE 64 END) AS key_hex FROM (SELECT c_custkey, sha256('a' || c_custkey) AS sha2_a, sha256('b' || c_custkey) AS sha2_b, sha256('c' || c_custkey) AS sha2_c FROM customer)"""
+
+
+@_query(f"""WITH k AS ({_KEY_INPUT}), d AS (SELECT *, CASE algorithm WHEN 'ES256' THEN '{KEY_PREFIXES['ES256'][0]}' ELSE '{KEY_PREFIXES['EdDSA'][0]}' END AS prefix, CASE WHEN v = 5 AND algorithm = 'ES256' THEN '03' || key_hex[3:] WHEN algorithm = 'ES256' THEN '04' || key_hex[3:] ELSE key_hex END AS body FROM k)
+SELECT id, CASE WHEN algorithm = 'HS256' THEN CASE WHEN v < 3 THEN 'short secret' ELSE 'ok' END WHEN v = 1 THEN 'no key' WHEN v = 2 THEN 'no key' WHEN v = 3 THEN 'no key' WHEN v = 4 THEN 'no key' WHEN algorithm = 'ES256' AND v = 5 THEN 'compressed' ELSE 'ok' END AS outcome,
+  CASE WHEN algorithm = 'HS256' THEN NULL WHEN v IN (1, 2, 3, 4) OR algorithm = 'ES256' AND v = 5 THEN NULL ELSE body END AS key_hex FROM d""")
+def token_keys(spark, sf_dir: str) -> DataFrame:
+    """Secrets long enough, and public keys read from their text form: four of seven are broken (one line too many, a byte too few, another kind, no end)."""
+    source = table(spark, sf_dir, "customer")
+    sha = lambda c: F.sha2(F.concat(F.lit(c), F.col("c_custkey").cast("string")), 256)
+    k = F.col("c_custkey")
+    algorithm = F.get(F.array(*map(F.lit, ("HS256", "ES256", "EdDSA"))), (k % 3).cast("int"))
+    length = F.when(k % 3 == 1, 130).otherwise(64)
+    base = source.select(k.alias("id"), algorithm.alias("algorithm"), (k % 7).alias("v"), F.substring(F.concat(sha("a"), sha("b"), sha("c")), F.lit(1), length).alias("key"))
+    v, own = F.col("v"), F.col("key")
+    point = F.when(v == 5, "03").otherwise("04")
+    own = F.when(F.col("algorithm") == "ES256", F.concat(point, F.substring(own, 3, 200))).otherwise(own)
+    prefix = F.when((F.col("algorithm") == "ES256") == (v != 3), KEY_PREFIXES["ES256"][0]).otherwise(KEY_PREFIXES["EdDSA"][0])
+    der = F.unhex(F.concat(prefix, F.when(v == 2, F.substring(own, 1, 60)).otherwise(own)))
+    pem = F.concat(F.lit("-----BEGIN PUBLIC KEY-----\n"), F.base64(der), F.when(v == 4, "\n").otherwise("\n-----END PUBLIC KEY-----\n"), F.when(v == 1, " more\n").otherwise("\n"))
+    secret = F.when(v < 3, "a short secret").otherwise(F.concat(F.lit("a secret of many more bytes, "), own))
+    given = base.select("id", "algorithm", F.when(F.col("algorithm") == "HS256", secret).otherwise(pem).alias("material"))
+    return parse_token_keys(given).select("id", "outcome", "key_hex")
+
+
+def parse_token_keys(given: DataFrame) -> DataFrame:
+    """given (with algorithm and material) with outcome and key_hex."""
+    lines = F.filter(F.transform(F.split("material", "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
+    step = given.withColumn("_lines", lines).withColumn("_n", F.size("_lines"))
+    framed = (F.get("_lines", F.lit(0)) == "-----BEGIN PUBLIC KEY-----") & (F.element_at("_lines", -1) == "-----END PUBLIC KEY-----") & (F.size(F.filter("_lines", lambda x: x.startswith("-----"))) == 2)
+    text = F.when((F.col("_n") >= 2) & framed, F.array_join(F.slice(F.col("_lines"), F.lit(2), F.greatest(F.col("_n") - 2, F.lit(0))), ""))
+    step = step.withColumn("_der", F.lower(F.hex(F.try_to_binary(text, F.lit("base64")))))
+    prefix = F.element_at(F.create_map(*[F.lit(x) for a, (p, _) in KEY_PREFIXES.items() for x in (a, p)]), F.col("algorithm"))
+    size = F.element_at(F.create_map(*[F.lit(x) for a, (_, n) in KEY_PREFIXES.items() for x in (a, n)]), F.col("algorithm"))
+    step = step.withColumn("_prefix", prefix).withColumn("_size", size)
+    fits = F.startswith("_der", F.col("_prefix")) & (F.length("_der") == F.length("_prefix") + 2 * F.col("_size"))
+    key = F.when(F.coalesce(fits, F.lit(False)), F.substring(F.col("_der"), F.length("_prefix") + 1, 2 * F.col("_size")))
+    step = step.withColumn("_key", key)
+    secret = F.col("algorithm") == "HS256"
+    outcome = (
+        F.when(secret, F.when(F.octet_length("material") < 32, "short secret").otherwise("ok")).when(F.col("_key").isNull(), "no key")
+        .when((F.col("algorithm") == "ES256") & ~F.startswith("_key", F.lit("04")), "compressed").otherwise("ok")
+    )
+    step = step.withColumn("outcome", outcome)
+    return step.select(*given.columns, "outcome", F.when(~secret & (F.col("outcome") == "ok"), F.col("_key")).alias("key_hex"))
