@@ -5,6 +5,7 @@ The bytes are written from rows and read again; the tests read bytes written out
 
 from __future__ import annotations
 
+import gzip
 import hashlib
 import struct
 
@@ -15,6 +16,7 @@ from pyspark.sql import functions as F
 from tickloom.functions.captions import caption_kind
 from tickloom.operators.series import TRACK
 from tickloom.plans.catalog import PLAN_SQL, _with
+from tickloom.plans.playlists import MEDIA_PLAYLIST_SQL, SEGMENT_LINES_SQL, media_playlist
 from tickloom.plans.trims import EDITS_SQL, MOVIE_SCALE, edit_entries
 from tickloom.sources.boxes import (
     BASE_IS_MOOF, BASE_OFFSET, DATA_OFFSET, DEFAULT_DURATION, DEFAULT_SIZE, FIRST_FLAGS, RUN_SIZE, SYNC_FLAGS, BoxError, box, boxes, fragment_rows, full_box, keep_header, sample_tables,
@@ -353,3 +355,15 @@ def sample_protection(spark, sf_dir: str) -> DataFrame:
             yield (k, i, iv.hex(), len(own), sum(c for c, _ in own), sum(p for _, p in own), starts[i])
 
     return _by_row(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k")), read, "id long, sample long, iv string, parts long, clear long, protected long, first_part long")
+
+
+@_query(_with(PLAN_SQL + MEDIA_SQL + SEGMENT_LINES_SQL, f"SELECT asset_id, track_id, sha256(body) AS body_sha256, true AS smaller FROM ({MEDIA_PLAYLIST_SQL})"))
+def compressed_playlists(spark, sf_dir: str) -> DataFrame:
+    """Media playlists compressed and read again; each is smaller compressed."""
+
+    def read(x):
+        raw = x["body"].encode()
+        packed = gzip.compress(raw, mtime=0)
+        yield (x["asset_id"], x["track_id"], hashlib.sha256(gzip.decompress(packed)).hexdigest(), len(packed) < len(raw))
+
+    return _by_row(media_playlist(spark, sf_dir), read, "asset_id long, track_id long, body_sha256 string, smaller boolean")

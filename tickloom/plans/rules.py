@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tickloom.operators.ordered import ordered_scan
 from tickloom.sources.views import table
 
 Q: dict = {}
@@ -412,3 +413,53 @@ def header_accounting(spark, sf_dir: str) -> DataFrame:
     ok = (F.col("bytes") <= MAX_HEADER_BYTES) & (F.col("boxes") <= MAX_BOXES)
     outcome = F.when(F.max(F.col("bytes") > MAX_HEADER_BYTES), "too many bytes").when(F.max(F.col("boxes") > MAX_BOXES), "too many boxes").otherwise("ok")
     return run.groupBy(F.col("l_orderkey").alias("file")).agg(F.count_if(ok).alias("accepted"), F.coalesce(F.max(F.when(ok, F.col("bytes"))), F.lit(0).cast("bigint")).alias("bytes"), outcome.alias("outcome"))
+
+
+INPUTS["responses"] = ("events", {
+    "event_id": "event_id", "status": "CASE event_id % 12 WHEN 0 THEN 200 WHEN 1 THEN 412 WHEN 2 THEN 401 WHEN 3 THEN 410 WHEN 4 THEN 503 WHEN 5 THEN 429 WHEN 6 THEN 404 ELSE 206 END", "own_tag": "CASE WHEN event_id % 7 = 0 THEN NULL ELSE 'a' END", "tag": "CASE WHEN event_id % 5 = 0 THEN 'b' ELSE 'a' END",
+    "wanted": "1 + event_id % 100", "total": "CASE WHEN event_id % 11 = 0 THEN 999 ELSE 1000 END", "body": "1 + event_id % 100 + CASE WHEN event_id % 13 = 0 THEN 1 WHEN event_id % 17 = 0 THEN -1 ELSE 0 END",
+})
+
+
+@_query(_sql("responses", """SELECT event_id, CASE WHEN status IN (200, 412) THEN 'changed' WHEN status IN (401, 403, 410) THEN 'location rejected' WHEN status = 429 OR status >= 500 THEN 'unavailable' WHEN status <> 206 THEN 'upstream' WHEN own_tag IS NOT NULL AND tag <> own_tag THEN 'changed' WHEN total <> 1000 THEN 'changed'
+  WHEN body > wanted THEN 'upstream' WHEN body < wanted THEN 'unavailable' ELSE 'ok' END AS outcome FROM responses"""))
+def range_responses(spark, sf_dir: str) -> DataFrame:
+    """What the answer to a range request means: the same object still, all of the bytes, and no more."""
+    s = F.col("status")
+    out = _first(
+        (s.isin(200, 412), "changed"), (s.isin(401, 403, 410), "location rejected"), ((s == 429) | (s >= 500), "unavailable"), (s != 206, "upstream"), (F.col("own_tag").isNotNull() & (F.col("tag") != F.col("own_tag")), "changed"),
+        (F.col("total") != 1000, "changed"), (F.col("body") > F.col("wanted"), "upstream"), (F.col("body") < F.col("wanted"), "unavailable"),
+    )
+    return _input(spark, sf_dir, "responses").select("event_id", out.alias("outcome"))
+
+
+#: Retries of a read, and milliseconds more to wait before each.
+MAX_RETRIES, BACK_OFF_MS = 2, 50
+_ATTEMPTS = ("unavailable", "unavailable", "location rejected", "ok", "changed")
+
+
+@_query(f"""WITH RECURSIVE a AS (SELECT l_orderkey AS id, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS k, [{', '.join(f"'{x}'" for x in _ATTEMPTS)}][l_partkey % 5 + 1] AS o FROM lineitem),
+w AS (SELECT id, 0::BIGINT AS k, 0 AS retries, 0 AS fresh, 0 AS waited, 'running' AS outcome FROM a WHERE k = 1
+  UNION ALL SELECT w.id, a.k, w.retries + (o = 'unavailable' AND w.retries < {MAX_RETRIES})::INT, w.fresh + (o = 'location rejected' AND w.fresh = 0)::INT, w.waited + CASE WHEN o = 'unavailable' AND w.retries < {MAX_RETRIES} THEN {BACK_OFF_MS} * (w.retries + 1) ELSE 0 END,
+    CASE WHEN o = 'unavailable' AND w.retries < {MAX_RETRIES} OR o = 'location rejected' AND w.fresh = 0 THEN 'running' ELSE o END FROM w JOIN a ON a.id = w.id AND a.k = w.k + 1 WHERE w.outcome = 'running')
+SELECT id, outcome, k AS tries, waited::BIGINT AS waited_ms FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k DESC) AS last FROM w) WHERE last = 1""")
+def read_retries(spark, sf_dir: str) -> DataFrame:
+    """Reads as runs of attempts: what is unavailable is tried again after a while, a rejected location is asked for anew once, all else ends the read."""
+
+    def step(state, row):
+        if row is None:
+            return None, [state[:3]] if state else []
+        code, tries, waited, retries, fresh = state or (0, 0, 0, 0, False)
+        if code:
+            return state, []
+        (attempt,) = row
+        outcome = _ATTEMPTS[attempt]
+        if outcome == "unavailable" and retries < MAX_RETRIES:
+            return (0, tries + 1, waited + BACK_OFF_MS * (retries + 1), retries + 1, fresh), []
+        if outcome == "location rejected" and not fresh:
+            return (0, tries + 1, waited, retries, True), []
+        return (attempt + 1, tries + 1, waited, retries, fresh), []
+
+    lines = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("id"), F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").alias("place"), (F.col("l_partkey") % 5).alias("attempt"))
+    out = ordered_scan(lines, ["id"], "place", ["attempt"], step, [(n, "bigint") for n in ("code", "tries", "waited_ms")])
+    return out.select("id", F.get(F.array(*map(F.lit, ("running", *_ATTEMPTS))), F.col("code").cast("int")).alias("outcome"), "tries", "waited_ms")
