@@ -221,6 +221,30 @@ def test_url_tokens_that_all_share_are_mined_in_bounded_time(spark):
     assert got == [(1000, "block"), (1000, "block"), (1001, "allow"), (None, "allow")] and out.count() == 204
 
 
+def test_rules_of_urls_with_many_tokens(spark):
+    """A pair of tokens that says nothing one by one, in URLs with twenty that say more; and every combination by grow."""
+    kinds = [("de", "a=1&b=1")] * 100 + [("de", "c=1")] * 100 + [("fr", "a=1")] * 100 + [("fr", "b=1")] * 100
+    pages = []
+    for i, (path, own) in enumerate(kinds):
+        pages.append((i, f"http://x.com/{path}/p?{own}&" + "&".join(f"n{j}=1" for j in range(20) if i != 200 + 10 * j)))
+    pages += [(1000, "http://y.net/p?a=1&b=1"), (1001, "http://y.net/p?a=1"), (1002, "http://y.net/p?b=1&c="), (1003, "http://y.net/p?b=1&n1=1")]
+    out = op4_url_filter.url_filter(spark.createDataFrame(pages, "page_id long, url string"))
+    assert {r.page_id: r.verdict for r in out.where("page_id >= 1000").collect()} == {1000: "block", 1001: "allow", 1002: "block", 1003: "allow"}
+
+    rng = np.random.default_rng(3)
+    for _ in range(60):
+        has = (rng.random((rng.integers(5, 60), 6)) < rng.uniform(0.3, 0.9)).astype(np.uint8)
+        a, b = rng.integers(0, 4, (2, len(has)))
+        least = max(1, rng.uniform(0.005, 0.1) * (a.sum() + b.sum()))
+        if b.sum() >= 0.9 * (a.sum() + b.sum()):
+            continue
+        every = [set(s) for k in range(1, 7) for s in itertools.combinations(range(6), k)]
+        on = [has[:, sorted(s)].all(axis=1) for s in every]
+        rules = [s for s, r in zip(every, on, strict=True) if b[r].sum() >= least and b[r].sum() / (a[r].sum() + b[r].sum()) >= op4_url_filter.MIN_CONFIDENCE]
+        got = [set(s) for s in op4_url_filter.grow(has, a, b, least)]
+        assert all(g in rules for g in got) and all(any(g <= r for g in got) for r in rules)
+
+
 def brute_url(url):
     """Host, path, rule and its verdict."""
     host = path = ""

@@ -7,10 +7,13 @@ rule decides are the labelled ones; FP-growth finds token combinations frequent
 tokens says the same.  A URL that no domain rule decides is blocked if it has all tokens of a mined
 rule, which an inverted index from each rule's rarest token finds; else it is allowed.
 
-Tokens that n URLs share can form 2 ** n combinations, so what is mined is bounded: of a labelled URL
-its MAX_TOKENS most telling frequent tokens (by how far their share of blocked URLs is from that of
-all, times the root of their count; ties by name), and tokens of exactly the same URLs are mined as
-one, any of which then fits.  ``mine`` logs how many URLs had more tokens.
+Every frequent token of every labelled URL is mined.  Tokens that n URLs share can form 2 ** n combinations, but
+most of them can't matter: tokens of exactly the same URLs are mined as one, any of which then fits;
+a token that is a rule by itself, or that all URLs have, is in no longer rule that says more; and a
+pattern isn't grown further if it is a rule, if its last token excludes no URL, or if the allowed URLs that
+have all tokens it could still get are too many for any rule (``grow``).  None of this loses a URL
+that some combination blocks.  As in parallel FP-growth, a task grows the patterns of one rarest token from the
+tokens before it, by frequency, of the distinct token sets that have it.
 
 The mined rules are broadcast after a count shows at most BROADCAST_RULES of them; more are
 joined by a shuffle on the token.
@@ -22,9 +25,8 @@ blocked label no rule is mined; other columns are ignored; an empty table gives
 
 from __future__ import annotations
 
-import logging
-
-from pyspark.ml.fpm import FPGrowth
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,8 +35,6 @@ from tickloom.llm.tables import stored, table
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 MIN_SUPPORT, MIN_CONFIDENCE = 0.005, 0.9
-#: Tokens of a labelled URL that are mined at most: 2 ** MAX_TOKENS combinations.
-MAX_TOKENS = 14
 BROADCAST_RULES = 50_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -73,21 +73,67 @@ def tokens() -> Column:
     return F.when(F.col("_scheme").isNull(), F.array().cast("array<string>")).otherwise(F.array_distinct(every))
 
 
-def telling(labelled: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(row, verdict, items, cut) of labelled (row, tokens, verdict): the tokens that are mined, and how many more frequent ones there were; (token, twins) of these tokens."""
+def frequent(labelled: DataFrame, n: int) -> DataFrame:
+    """(token, n, b, twins) of the tokens of enough blocked URLs, one for all that have the same URLs; n, b: its URLs, and the blocked ones."""
     each = labelled.select("row", "verdict", F.explode("tokens").alias("token"))
     block = (F.col("verdict") == "block").cast("long")
-    n, n_block = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(block), F.lit(0))).first()
     # at most (tokens of a URL) / MIN_SUPPORT tokens are frequent, whatever the number of URLs; same: which URLs a token is in
     same = F.struct(F.sum(F.xxhash64("row") % (1 << 31)), F.bit_xor(F.xxhash64("row", F.lit(1))))
-    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(block).alias("b"), same.alias("same")).where(F.col("n") >= MIN_SUPPORT * n)
+    counts = each.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.sum(block).alias("b"), same.alias("same")).where(F.col("b") >= MIN_SUPPORT * n)
     alone = counts.groupBy("same", "n", "b").agg(F.min("token").alias("token"), F.collect_list("token").alias("twins"))
-    weight = F.abs(F.col("b") / F.col("n") - n_block / max(n, 1)) * F.sqrt("n")
-    some = stored(alone.select("token", "twins", weight.alias("weight")), "tokens")
-    order = F.struct(-F.col("weight"), F.col("token"))
-    got = each.join(F.broadcast(some.drop("twins")), "token").groupBy("row", "verdict").agg(F.array_sort(F.collect_list(order)).alias("found"))
-    items = F.transform(F.slice("found", 1, MAX_TOKENS), lambda x: x["token"])
-    return got.select("row", "verdict", items.alias("items"), F.greatest(F.size("found") - MAX_TOKENS, F.lit(0)).alias("cut")), some.drop("weight")
+    return stored(alone.select("token", "n", "b", "twins"), "tokens")
+
+
+def grow(has: np.ndarray, a: np.ndarray, b: np.ndarray, least: float, need: tuple[int, ...] = (), left: np.ndarray | None = None):
+    """Sets of columns that make a rule and don't contain a rule found on the way; has: (token sets, columns), a, b: allowed and blocked URLs of each set, least: blocked URLs of a rule."""
+    left = np.arange(has.shape[1]) if left is None else left
+    n_a, n_b = a.sum(), b.sum()
+    own_a, own_b = a @ has, b @ has
+    # a token that excludes no URL adds nothing to this pattern or a longer one
+    some = (own_b >= least) & ((own_a < n_a) | (own_b < n_b))
+    rule = some & (own_b / np.maximum(own_a + own_b, 1) >= MIN_CONFIDENCE)
+    for i in np.flatnonzero(rule):
+        yield (*need, int(left[i]))
+    on = np.flatnonzero(some & ~rule)
+    # the purest last: they are added to all others, and leave the least to be tried
+    on = on[np.argsort(own_b[on] / (own_a[on] + own_b[on]), kind="stable")]
+    left, has = left[on], has[:, on]
+    for i in range(len(on) - 1):
+        rows = has[:, i] > 0
+        rest, x, y = has[rows, i + 1 :], a[rows], b[rows]
+        # the allowed URLs with all further tokens stay whatever is added
+        stay = x[rest.all(axis=1)].sum()
+        if y.sum() / (y.sum() + stay) < MIN_CONFIDENCE:
+            continue
+        keys = np.packbits(rest, axis=1)
+        _, first, to = np.unique(keys.view(f"V{keys.shape[1]}").ravel(), return_index=True, return_inverse=True)
+        sums = [np.bincount(to, w, len(first)).astype(np.int64) for w in (x, y)]
+        yield from grow(rest[first], *sums, least, (*need, int(left[i])), left[i + 1 :])
+
+
+def patterns(sets: DataFrame, least: float) -> DataFrame:
+    """(need) of the rules of two tokens or more; sets: distinct (items, a, b), items by frequency, the most frequent first."""
+    at = F.posexplode("items").alias("i", "anchor")
+    each = sets.select("items", "a", "b", at).where("i > 0").groupBy("anchor", F.slice("items", F.lit(1), F.col("i")).alias("before")).agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+
+    def run(key, group):
+        before = group.column("before").combine_chunks()
+        a, b = (group.column(c).to_numpy().astype(np.int64) for c in "ab")
+        names = before.flatten().dictionary_encode()
+        row = np.repeat(np.arange(len(a)), before.value_lengths().to_numpy())
+        codes = names.indices.to_numpy()
+        own = np.bincount(codes, b[row], len(names.dictionary))
+        kept = np.flatnonzero(own >= least)
+        column = np.full(len(own), -1)
+        column[kept] = np.arange(len(kept))
+        on = column[codes] >= 0
+        has = np.zeros((len(a), len(kept)), np.uint8)
+        has[row[on], column[codes[on]]] = 1
+        tokens, anchor = names.dictionary.take(pa.array(kept)).to_pylist(), key[0].as_py()
+        found = [sorted([anchor, *(tokens[i] for i in need)]) for need in grow(has, a, b, least)]
+        return pa.table({"need": pa.array(found, pa.list_(pa.string()))})
+
+    return each.groupBy("anchor").applyInArrow(run, "need array<string>")
 
 
 def mine(labelled: DataFrame) -> DataFrame:
@@ -95,25 +141,24 @@ def mine(labelled: DataFrame) -> DataFrame:
 
     any_of has, for each token that a rule needs, all that are as good.
     """
-    spark = labelled.sparkSession
-    schema = "need array<string>, confidence double, support double"
-    if labelled.where("verdict = 'block'").limit(1).count() == 0:
-        return spark.createDataFrame([], schema).select(F.lit(0).cast("long").alias("rule_id"), "need", F.array("need").alias("any_of"), F.lit("").alias("anchor"))
-    chosen, twins = telling(labelled)
-    chosen = stored(chosen, "mined-tokens")
-    cut = chosen.where("cut > 0").count()
-    if cut:
-        logging.getLogger(__name__).warning("%d labelled URLs have more than %d frequent tokens; the least telling ones were not mined", cut, MAX_TOKENS)
-    items = chosen.select(F.concat("items", F.array(F.concat(F.lit("="), F.col("verdict")))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=MIN_SUPPORT, minConfidence=MIN_CONFIDENCE).fit(items)
-    freq = model.freqItemsets.where(F.size("items") == 1).select(F.col("items")[0].alias("token"), "freq")
-    block = stored(model.associationRules.where(F.array_contains("consequent", "=block")).select(F.array_sort("antecedent").alias("need"), "confidence", "support"), "rules")
+    block = (F.col("verdict") == "block").cast("long")
+    n, n_block = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum(block), F.lit(0))).first()
+    if not n_block:
+        none = labelled.sparkSession.createDataFrame([], "need array<string>")
+        return none.select(F.lit(0).cast("long").alias("rule_id"), "need", F.array("need").alias("any_of"), F.lit("").alias("anchor"))
+    some = frequent(labelled, n)
+    alone = F.col("b") / F.col("n") >= MIN_CONFIDENCE
+    inside = some.where(~alone & (F.col("n") < n)).select("token", (-F.col("n")).alias("order"))
+    found = labelled.select("row", block.alias("b"), F.explode("tokens").alias("token")).join(F.broadcast(inside), "token")
+    items = F.transform(F.array_sort(F.collect_list(F.struct("order", "token"))), lambda x: x["token"])
+    sets = found.groupBy("row", "b").agg(items.alias("items")).groupBy("items").agg(F.sum(1 - F.col("b")).alias("a"), F.sum("b").alias("b"))
+    rules = stored(some.where(alone).select(F.array("token").alias("need")).unionAll(patterns(sets, MIN_SUPPORT * n)), "rules")
     # a rule is kept unless dropping one token leaves a rule that is as good: subsets of kept rules are rules themselves
-    shorter = block.select(F.explode("need").alias("out"), "need").select("need", F.array_remove(F.col("need"), F.col("out")).alias("less"))
-    covered = shorter.join(block.select(F.col("need").alias("less")), "less").select("need").distinct()
-    kept = block.join(covered, "need", "left_anti").withColumn("rule_id", F.xxhash64("need"))
-    each = kept.select("rule_id", "need", F.explode("need").alias("token")).join(freq, "token").join(F.broadcast(twins), "token")
-    rarest = F.min(F.struct("freq", "token", "twins"))["twins"]
+    shorter = rules.select(F.explode("need").alias("out"), "need").select("need", F.array_remove(F.col("need"), F.col("out")).alias("less"))
+    covered = shorter.join(rules.select(F.col("need").alias("less")), "less").select("need").distinct()
+    kept = rules.join(covered, "need", "left_anti").withColumn("rule_id", F.xxhash64("need"))
+    each = kept.select("rule_id", "need", F.explode("need").alias("token")).join(F.broadcast(some), "token")
+    rarest = F.min(F.struct("n", "token", "twins"))["twins"]
     return each.groupBy("rule_id", "need").agg(F.collect_list("twins").alias("any_of"), rarest.alias("anchors")).select("rule_id", "need", "any_of", F.explode("anchors").alias("anchor"))
 
 
