@@ -325,6 +325,29 @@ def test_quality_of_texts_with_one_bad_half(spark):
     assert op7_quality_rules.fit_limits(docs, no_labels) == {}
 
 
+def test_quality_limits_are_fitted_on_all_labelled_texts(spark):
+    """More labelled texts than were once fitted on (20,000): the limits are the quantiles of all of them, ties and repeats too."""
+    rng = random.Random(11)
+    words = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(4000)]
+    texts = [" ".join(rng.choices(words[: rng.choice([150, 4000])], k=rng.randint(56, 75))) for _ in range(24_000)]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(None, texts[0]), (5, texts[7])], "doc_id long, text string").repartition(4)
+    labels = spark.createDataFrame([(i, int(i % 12 > 0)) for i in range(24_000)] + [(None, 1), (5, 1)], "doc_id long, quality int").repartition(4)
+    compress = zstandard.ZstdCompressor(level=3, write_checksum=False).compress
+    found = {}
+    for t in [t for i, t in enumerate(texts) if i % 12] + [texts[7]]:
+        raw = t.encode()
+        if brute_base(t) and len(raw) >= 256:
+            found.setdefault(math.floor(2 * math.log2(len(raw))), []).append(len(compress(raw)) / len(raw))
+    assert sum(map(len, found.values())) > 20_000
+    want = {}
+    for k, v in found.items():
+        if len(v) >= 40:
+            a, m, b = np.quantile(v, [0.005, 0.5, 0.995])
+            want[k] = (a - 0.5 * (m - a), b + 0.5 * (b - m))
+    got = op7_quality_rules.fit_limits(docs, labels)
+    assert got.keys() == want.keys() and want and all(np.allclose(got[k], want[k], rtol=0, atol=1e-12) for k in want)
+
+
 def brute_licenses(text):
     """Every window of every template's group, without bands."""
     words = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in t or ""))

@@ -22,10 +22,10 @@ import math
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tickloom.llm.tables import table
+from tickloom.llm.tables import stored, table
 from tickloom.llm.textarrays import SpanHasher, Words, separator_table, shingle_hashes, slices, text_buffer
 
 #: (bytes from, least ratio, largest ratio) of whole texts; shorter texts than the first are not judged.
@@ -37,8 +37,8 @@ WHOLE_BANDS = (
 )
 #: Bytes of a chunk; a last one of fewer than CHUNK_LEAST isn't judged.  Bytes of chunks outside their band may be this share.
 CHUNK_BYTES, CHUNK_LEAST, CHUNK_SHARE = 4096, 1024, 0.5
-#: Labelled rows that are fitted on at most, good texts a length class needs, the quantiles, and how far beyond them is allowed.
-FIT_ROWS, FIT_LEAST, FIT_QUANTILES, FIT_MARGIN = 20_000, 40, (0.005, 0.5, 0.995), 0.5
+#: Good texts a length class needs, the quantiles, and how far beyond them is allowed; bins a ratio of 1 has when quantiles are looked for.
+FIT_LEAST, FIT_QUANTILES, FIT_MARGIN, FIT_BINS = 40, (0.005, 0.5, 0.995), 0.5, 4096
 MIN_WORDS = 50
 SYMBOLS = b"#*$%&|<>"
 
@@ -138,12 +138,41 @@ def quality_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 def fit_limits(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> dict[int, tuple[float, float]]:
     """(least, largest ratio) by length class, from the texts labelled 1 that pass the base rules."""
     good = labels.where((F.col(label_col) == 1) & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id")).distinct()
-    good = good.orderBy(F.xxhash64("doc_id"), "doc_id").limit(FIT_ROWS)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))
-    judged = quality_rules(texts.join(F.broadcast(good), "doc_id", "left_semi")).where(~F.col("base_failed") & (F.col("n_bytes") >= WHOLE_BANDS[0][0]))
-    at = F.percentile("whole_ratio", F.array(*map(F.lit, FIT_QUANTILES)))
-    per = judged.groupBy(F.floor(2 * F.log2("n_bytes")).cast("int").alias("length")).agg(F.count(F.lit(1)).alias("n"), at.alias("q")).where(F.col("n") >= FIT_LEAST)
-    return {r.length: (r.q[0] - FIT_MARGIN * (r.q[1] - r.q[0]), r.q[2] + FIT_MARGIN * (r.q[2] - r.q[1])) for r in per.collect()}
+    judged = quality_rules(texts).where(~F.col("base_failed") & (F.col("n_bytes") >= WHOLE_BANDS[0][0]))
+    ratios = judged.select("doc_id", F.floor(2 * F.log2("n_bytes")).cast("int").alias("length"), F.col("whole_ratio").alias("ratio")).join(good, "doc_id", "left_semi")
+    found = quantiles(stored(ratios.select("length", "ratio"), "ratios"), FIT_QUANTILES, FIT_LEAST)
+    return {k: (q[0] - FIT_MARGIN * (q[1] - q[0]), q[2] + FIT_MARGIN * (q[2] - q[1])) for k, q in found.items()}
+
+
+def quantiles(ratios: DataFrame, at, least: int) -> dict[int, list[float]]:
+    """The quantiles of the ratios of each length that has at least so many, interpolated; ratios: (length, ratio), read twice."""
+    binned = ratios.withColumn("bin", F.floor(F.col("ratio") * FIT_BINS).cast("int"))
+    counts: dict[int, list[tuple[int, int]]] = {}
+    for r in binned.groupBy("length", "bin").count().orderBy("length", "bin").collect():
+        counts.setdefault(r.length, []).append((r.bin, r["count"]))
+    places, wanted = {}, set()
+    for length, bins in counts.items():
+        upto = np.cumsum([n for _, n in bins])
+        if upto[-1] >= least:
+            places[length] = [q * (int(upto[-1]) - 1) for q in at]
+            for rank in {f(p) for p in places[length] for f in (math.floor, math.ceil)}:
+                i = int(np.searchsorted(upto, rank, "right"))
+                wanted.add((length, bins[i][0], rank, rank - int(upto[i]) + bins[i][1]))
+    if not places:
+        return {}
+    # of equal ratios one row is sorted
+    asked = F.broadcast(ratios.sparkSession.createDataFrame(sorted(wanted), "length int, bin int, rank long, local long"))
+    some = binned.join(asked.select("length", "bin").distinct(), ["length", "bin"], "left_semi").groupBy("length", "bin", "ratio").count()
+    upto = some.withColumn("upto", F.sum("count").over(Window.partitionBy("length", "bin").orderBy("ratio")))
+    hit = upto.join(asked, ["length", "bin"]).where((F.col("local") < F.col("upto")) & (F.col("local") >= F.col("upto") - F.col("count")))
+    value = {(r.length, r.rank): r.ratio for r in hit.collect()}
+
+    def between(length, p):
+        low, high = math.floor(p), math.ceil(p)
+        return value[length, low] if low == high else (high - p) * value[length, low] + (p - low) * value[length, high]
+
+    return {length: [between(length, p) for p in ps] for length, ps in places.items()}
 
 
 def keep_good(docs: DataFrame, text_col: str = "text", limits: dict | None = None) -> DataFrame:
