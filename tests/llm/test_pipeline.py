@@ -1,6 +1,7 @@
 """The pipeline against five stages in plain Python, on all of the smallest scale and on an odd table."""
 
 import hashlib
+import random
 import re
 
 import tiktoken
@@ -102,3 +103,20 @@ def test_pipeline_of_an_odd_table(spark, tmp_path):
 def test_pipeline_of_empty_tables(spark, tmp_path):
     write_tables(spark, str(tmp_path / "empty"), [], [], [])
     assert corpus_pipeline.run(spark, str(tmp_path / "empty")).collect() == []
+
+
+def test_quality_stage_is_fitted_on_all_labelled_texts(spark, tmp_path):
+    """40 of 24,000 labelled documents have the length that decides about a repetitive one: any smaller share of the labels leaves no limit for it."""
+    rng = random.Random(4)
+
+    def words(k):
+        some = ["".join(rng.choices("etaoinshrdlu", k=rng.randint(2, 8))) for _ in range(k)]
+        return " ".join(rng.choices(some, k=400))[:1700]
+
+    docs = [(i, words(5000)) for i in range(40)] + [(100_000, words(100)), (None, words(5000))]
+    folder = str(tmp_path / "many")
+    write_tables(spark, folder, [(d, t, "en", "s", len(t), "x", 1) for d, t in docs], [(1, "item")], [(i, 1, 0) for i in range(24_000)])
+    table = spark.read.parquet(f"{folder}/documents.parquet").select(*corpus_pipeline.COLUMNS)
+    _, want = brute_kept(dict(docs), set(range(24_000)))
+    got = {r.doc_id for r in corpus_pipeline.quality(spark, table, folder).collect()}
+    assert got == want == {*range(40), None}
