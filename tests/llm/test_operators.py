@@ -150,6 +150,18 @@ def test_pii_windows_read_every_character(tagger):
     assert op3_pii.tagged_spans(["", "x", ""], tagger) == [[], [], []]
 
 
+def test_pii_scan_by_gates(tagger, monkeypatch):
+    """The scan's emissions are those of the plain steps that training goes, and spans don't depend on how many windows are read at once."""
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, op3_pii.CLASSES, (70, 9)).astype(np.uint8)
+    assert np.allclose(tagger.scan(x), tagger.emissions(x.T.astype(np.int64)).transpose(1, 0, 2), rtol=0, atol=1e-3)
+    assert tagger.scan(x[:, :0]).shape == (70, 0, op3_pii.TAGS)
+    texts = [" ".join(t for t, _ in op3_pii.made_texts(40, seed=s)) for s in range(40, 44)] + ["", "x"]
+    want = op3_pii.tagged_spans(texts, tagger)
+    monkeypatch.setattr(op3_pii, "AT_ONCE", 5)
+    assert op3_pii.tagged_spans(texts, tagger) == want and sum(map(len, want)) > 20
+
+
 def test_pii_odd_numbers():
     assert op3_pii.base_spans("0" * 5000 + "1.2.3.4") == [(0, 5007, "ip")]
     assert op3_pii.base_spans("9" * 5000 + ".2.3.4") == []

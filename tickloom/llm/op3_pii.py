@@ -37,6 +37,8 @@ TAGGED = (*KINDS, "secret")
 WINDOW, OVERLAP = 192, 32
 TRAIN_DOCS, TRAIN_WINDOWS, MADE, TRAIN_WINDOW = 200, 2000, 2400, 64
 HIDDEN, STEPS, BATCH = 12, 900, 64
+#: Windows that are read at once; no result depends on it.
+AT_ONCE = 512
 #: Least mean posterior of a span that the tagger adds.
 SURE = 0.9
 #: Transition weights stay within this, which bounds what they can make up for.
@@ -163,25 +165,37 @@ class Tagger:
     def scan(self, x: np.ndarray) -> np.ndarray:
         """The emissions again, in single precision and without what training needs; x: classes, steps first."""
         t, n = x.shape
-        out = np.zeros((t, n, TAGS), np.float32)
+        x = x.astype(np.intp)
+        out = np.zeros((t * n, TAGS), np.float32)
         half = np.repeat(np.array([0.5, 1], np.float32), [3 * HIDDEN, HIDDEN])  # a sigmoid is a tanh of half its argument
+
+        def by_gate(v):
+            return np.ascontiguousarray((v * half).astype(np.float32).reshape(-1, 4, HIDDEN).transpose(1, 0, 2))
+
+        # each gate has its own block of memory, which makes the steps between the products one run each
+        z, add = np.empty((4, n, HIDDEN), np.float32), np.empty((4, n, HIDDEN), np.float32)
+        hs = np.empty((t, n, HIDDEN), np.float32)
+        gates = z[:3]
         for d in "fb":
-            own = ((self.p[f"x{d}"] + self.p[f"c{d}"]) * half).astype(np.float32)
-            w, o = (self.p[f"h{d}"] * half).astype(np.float32), self.p[f"o{d}"].astype(np.float32)
-            h, c, z = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32), np.empty((n, 4 * HIDDEN), np.float32)
+            own, w = by_gate(self.p[f"x{d}"] + self.p[f"c{d}"]), by_gate(self.p[f"h{d}"])
+            h, c = np.zeros((n, HIDDEN), np.float32), np.zeros((n, HIDDEN), np.float32)
             for i in range(t) if d == "f" else range(t - 1, -1, -1):
                 np.matmul(h, w, out=z)
-                z += own.take(x[i], axis=0)
+                # classes are never out of range; without "clip" take copies its result
+                np.take(own, x[i], axis=1, out=add, mode="clip")
+                z += add
                 np.tanh(z, out=z)
-                gates = z[:, : 3 * HIDDEN]
                 gates *= 0.5
                 gates += 0.5
-                c *= z[:, HIDDEN : 2 * HIDDEN]
-                c += z[:, :HIDDEN] * z[:, 3 * HIDDEN :]
+                c *= z[1]
+                z[3] *= z[0]
+                c += z[3]
+                h = hs[i]
                 np.tanh(c, out=h)
-                h *= z[:, 2 * HIDDEN : 3 * HIDDEN]
-                out[i] += h @ o
-        return out + self.p["bias"].astype(np.float32)
+                h *= z[2]
+            out += hs.reshape(t * n, HIDDEN) @ self.p[f"o{d}"].astype(np.float32)
+        out += self.p["bias"].astype(np.float32)
+        return out.reshape(t, n, TAGS)
 
     def _forward_backward(self, e):
         n, t, k = e.shape
@@ -224,9 +238,11 @@ class Tagger:
         # a text's first and last character have one transition only
         makes_up = np.maximum(makes_up, np.maximum((tr[:, :] - tr[:, :1]).max(axis=0), (tr - tr[:1]).max(axis=1)))
         open_ = np.zeros(len(e), bool)
-        for k in range(1, TAGS):
-            # a little more than what may be made up for, as these are single precision
-            open_ |= e[:, k] + np.float32(makes_up[k] + 1e-3) >= e[:, 0]
+        for i in range(0, len(e), 1 << 14):
+            part = e[i : i + (1 << 14)]
+            for k in range(1, TAGS):
+                # a little more than what may be made up for, as these are single precision
+                open_[i : i + (1 << 14)] |= part[:, k] + np.float32(makes_up[k] + 1e-3) >= part[:, 0]
         tags, sure = np.zeros(len(e), np.int64), np.ones(len(e))
         first, last = np.zeros(len(e), bool), np.zeros(len(e), bool)
         last[ends[ends > 0] - 1] = True
@@ -426,15 +442,15 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
     local = np.concatenate(places)
     begin = local + (ends - lengths)[text_of]
     e = np.empty((int(ends[-1]), TAGS), np.float32)
-    steps = np.arange(WINDOW)
-    for k in range(0, len(begin), 1024):
-        at = begin[k : k + 1024, None] + steps
-        inside = at < ends[text_of[k : k + 1024], None]
-        x = np.where(inside, flat[np.minimum(at, len(flat) - 1)], PAD)
-        got = tagger.scan(np.ascontiguousarray(x.T)).transpose(1, 0, 2)
+    steps, is_last = np.arange(WINDOW)[:, None], _is_last(text_of)
+    for k in range(0, len(begin), AT_ONCE):
+        some = slice(k, k + AT_ONCE)
+        at, end = begin[some] + steps, ends[text_of[some]]
+        inside = at < end
+        got = tagger.scan(np.where(inside, flat[np.minimum(at, len(flat) - 1)], PAD))
         # a character belongs to the window in which it is most central
-        own = inside & ((steps >= OVERLAP // 2) | (local[k : k + 1024, None] == 0)) & ((steps < WINDOW - OVERLAP // 2) | (at >= ends[text_of[k : k + 1024], None] - OVERLAP // 2) & _is_last(text_of, k)[:, None])
-        e[at[own]] = got[own]
+        own = np.flatnonzero(inside & ((steps >= OVERLAP // 2) | (local[some] == 0)) & ((steps < WINDOW - OVERLAP // 2) | (at >= end - OVERLAP // 2) & is_last[some]))
+        e[at.ravel()[own]] = got.reshape(-1, TAGS)[own]
     tags, sure = tagger.decode(e, ends)
     inside = np.flatnonzero(tags)
     if len(inside):
@@ -459,10 +475,9 @@ def tagged_spans(texts: list[str], tagger: Tagger) -> list[list[tuple[int, int,
     return out
 
 
-def _is_last(text_of: np.ndarray, k: int) -> np.ndarray:
-    """Of windows k to k + 1023: whether it is its text's last."""
-    after = np.concatenate([text_of[1:], [-1]])
-    return (after != text_of)[k : k + 1024]
+def _is_last(text_of: np.ndarray) -> np.ndarray:
+    """Of each window: whether it is its text's last."""
+    return np.concatenate([text_of[1:], [-1]]) != text_of
 
 
 def _least_by_bucket(batches):
