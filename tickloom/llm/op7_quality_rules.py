@@ -7,8 +7,9 @@ texts compress badly whatever they say, so their band lies higher.
 
 The bands are wide where nothing is known.  ``fit_limits`` narrows them to what texts labelled good
 have: for each length class (half an octave of bytes) with at least FIT_LEAST of them, the ratios
-between two far quantiles, and half as far again beyond each as it is from the median.  It fits on at
-most FIT_ROWS labelled rows (the first by a hash of the id).
+between two far quantiles, and half as far again beyond each as it is from the median.  It fits on
+all labelled rows: every text is judged, and only its figures meet the labels.  The quantiles are exact:
+counts by narrow bins of the ratio say which bins have them, and these bins are then sorted.
 
 Defined cases: a null or empty text has no words and fails; texts may repeat and each row is
 judged alone; null ids aren't learnt from, and of a repeated id all texts are; other columns of the
